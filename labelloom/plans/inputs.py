@@ -58,7 +58,7 @@ def fixed_predictions(spark: SparkSession, root: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("double").alias("prediction"))
 
 
-def requests(spark: SparkSession, root: str) -> DataFrame:
+def requests(docs: DataFrame) -> DataFrame:
     """(request_id, body): one request per document, well-formed or not by
     language: a list (en), a single object (es), a wrong field (fr), cut off (de)."""
     item = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("comment"))
@@ -68,7 +68,7 @@ def requests(spark: SparkSession, root: str) -> DataFrame:
     lang = F.col("lang")
     body = (F.when(lang == "en", as_list).when(lang == "es", as_object)
             .when(lang == "fr", wrong).otherwise(F.rtrim(as_list, F.lit("}"))))
-    return documents(spark, root).select(F.col("doc_id").alias("request_id"), body.alias("body"))
+    return docs.select(F.col("doc_id").alias("request_id"), body.alias("body"))
 
 
 _DOT = " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * ({w!r})"

@@ -69,7 +69,7 @@ def _total(values: str):
   SELECT doc_id AS request_id, CAST(doc_id AS VARCHAR) AS id, text AS comment
   FROM documents WHERE lang IN ('en', 'es')""")
 def request_parse(spark: SparkSession, root: str) -> DataFrame:
-    return rq.accepted_comments(rq.parse_requests(requests(spark, root)), ("request_id",))
+    return rq.accepted_comments(rq.parse_requests(requests(documents(spark, root))), ("request_id",))
 
 
 @query("request_reject", """
@@ -77,7 +77,7 @@ def request_parse(spark: SparkSession, root: str) -> DataFrame:
          CASE lang WHEN 'fr' THEN 'missing_textComments' ELSE 'not_json' END AS reject_reason
   FROM documents WHERE lang NOT IN ('en', 'es')""")
 def request_reject(spark: SparkSession, root: str) -> DataFrame:
-    rejected = rq.rejected_requests(rq.parse_requests(requests(spark, root)))
+    rejected = rq.rejected_requests(rq.parse_requests(requests(documents(spark, root))))
     return rejected.select("request_id", "reject_reason")
 
 
