@@ -11,6 +11,7 @@ from labelloom.functions.text import clean_tokens
 from labelloom.operators import classify
 from labelloom.operators.feature_sets import feature_set
 from labelloom.plans.inputs import documents, labelled
+from labelloom.plans.prepare import fit_once
 from labelloom.session import compact, materialize
 
 
@@ -20,7 +21,7 @@ def _corpus(spark: SparkSession, root: str) -> DataFrame:
 
 def _tfidf50(spark: SparkSession, root: str) -> DataFrame:
     corpus = _corpus(spark, root)
-    model = feature_set("tfidf", num_features=1024, k=50).fit(corpus)
+    model = fit_once(feature_set("tfidf", num_features=1024, k=50), corpus)
     return model.transform(corpus).select("id", "label", "features")
 
 
@@ -41,7 +42,7 @@ def pca_2000_to_100(spark: SparkSession, root: str) -> DataFrame:
 def word2vec_100(spark: SparkSession, root: str) -> DataFrame:
     """Word vectors of 100 dimensions, five iterations: fit and transform."""
     corpus = _corpus(spark, root)
-    model = feature_set("word2vec", size=100).fit(corpus)
+    model = fit_once(feature_set("word2vec", size=100), corpus)
     return model.transform(corpus).select("id", vector_to_array("features").alias("features"))
 
 

@@ -16,7 +16,7 @@ from labelloom.plans import sqltext as q
 from labelloom.plans.experiment import run_matrix
 from labelloom.plans.inputs import (FIXED_PREDICTIONS_SQL, FIXED_SCORE_SQL, LABELLED_SQL, documents,
                                     fixed_predictions, fixed_score, labelled, vectors)
-from labelloom.plans.prepare import sentence_corpus, token_corpus
+from labelloom.plans.prepare import fit_once, sentence_corpus, token_corpus
 from labelloom.plans.registry import query
 from labelloom.session import compact, materialize, scratch_dir
 from labelloom.sources.models import load_pipeline, save_model
@@ -137,7 +137,7 @@ def hashing_tf(spark: SparkSession, root: str) -> DataFrame:
 
 def _features(spark: SparkSession, root: str, name: str, **options) -> DataFrame:
     corpus = compact(materialize(labelled(spark, root), "corpus"))
-    model = feature_set(name, **options).fit(corpus)
+    model = fit_once(feature_set(name, **options), corpus)
     return model.transform(corpus).select("id", "label", vector_to_array("features").alias("features"))
 
 
@@ -180,7 +180,7 @@ def _all_equal(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
   SELECT count(*) AS n_rows, count(*) AS n_equal FROM ({LABELLED_SQL})""")
 def stages_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     corpus = compact(materialize(labelled(spark, root), "corpus"))
-    model = feature_set("tfidf", num_features=256, k=8).fit(corpus)
+    model = fit_once(feature_set("tfidf", num_features=256, k=8), corpus)
     back = load_pipeline(save_model(model, scratch_dir(spark, "stages")))
     return _all_equal(model.transform(corpus), back.transform(corpus), "features")
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from labelloom.operators.classify import make_classifier
 from labelloom.operators.feature_sets import hashed_tfidf
 from labelloom.plans.inputs import documents, labelled, requests
+from labelloom.plans.prepare import fit_once
 from labelloom.plans.registry import query
 from labelloom.session import compact, materialize, scratch_dir
 from labelloom.sources.models import load_pipeline, save_model
@@ -104,8 +105,8 @@ def stream_score(spark: SparkSession, root: str) -> DataFrame:
     # Whether a comment gets the prediction it would get in a batch job.
     base = scratch_dir(spark, "stream-score")
     train = compact(materialize(labelled(spark, root), "corpus"))
-    fitted = Pipeline(stages=[hashed_tfidf(num_features=1024),
-                              make_classifier("logistic", maxIter=20)]).fit(train)
+    stages = [*hashed_tfidf(num_features=1024).getStages(), make_classifier("logistic", maxIter=20)]
+    fitted = fit_once(Pipeline(stages=stages), train, keep=("id", "label"))
     model = load_pipeline(save_model(fitted, f"{base}/model"))
     stream = requests(stream_table(spark, root, "documents"))
     st.score_requests(stream, model, f"{base}/out", f"{base}/rejected", f"{base}/checkpoint",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 
 from labelloom.functions.text import clean_tokens
@@ -27,6 +27,22 @@ def sentence_corpus(comments: DataFrame, balance: bool = False) -> DataFrame:
     return balance_classes(kept) if balance else kept
 
 
+def fit_once(pipeline: Pipeline, df: DataFrame, keep: tuple[str, ...] = ("id",)) -> PipelineModel:
+    """Fit a pipeline whose leading stages need no fitting, evaluating those once.
+
+    ``Pipeline.fit`` is lazy: every estimator would clean and tokenize all texts
+    again.  Here the output of the leading transformers is written first.
+    """
+    stages = pipeline.getStages()
+    first = next((i for i, s in enumerate(stages) if isinstance(s, Estimator)), len(stages))
+    lead, rest = stages[:first], stages[first:]
+    if not lead or not rest:
+        return pipeline.fit(df)
+    ready = PipelineModel(lead).transform(df).select(*keep, lead[-1].getOutputCol())
+    fitted = Pipeline(stages=rest).fit(compact(materialize(ready, "stage-input")))
+    return PipelineModel([*lead, *fitted.stages])
+
+
 def feature_tables(corpus: DataFrame, name: str, fit_on: str = "train", train_percent: int = 80,
                    seed: int = 42, **options) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Split, fit the feature pipeline on the train part, write both parts.
@@ -38,7 +54,7 @@ def feature_tables(corpus: DataFrame, name: str, fit_on: str = "train", train_pe
         raise ValueError("fit_on must be 'train' or 'all'")
     corpus = materialize(corpus, "corpus")
     train, test = train_test_split(corpus, train_percent, seed=seed)
-    model = feature_set(name, **options).fit(compact(train if fit_on == "train" else corpus))
+    model = fit_once(feature_set(name, **options), train if fit_on == "train" else corpus)
     wanted = ("id", "label", "features")
     return (model, materialize(model.transform(train).select(*wanted), f"{name}-train"),
             materialize(model.transform(test).select(*wanted), f"{name}-test"))

@@ -60,7 +60,7 @@ def main(argv: list[str]) -> int:
     import __spark_entry__ as e
     from labelloom.session import build_session
     spark = build_session("oracle", "local[8]", {
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
