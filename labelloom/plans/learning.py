@@ -255,7 +255,7 @@ def experiment_matrix(spark: SparkSession, root: str) -> DataFrame:
     corpus = sentence_corpus(labelled(spark, root))
     return run_matrix("documents", corpus,
                       {"tfidf": {"num_features": 1024, "k": 16}, "encoder_sentence": {"dim": 32}},
-                      tune=False)
+                      tune=False, tuning={"svc": {"maxIter": 10}, "mlp": {"maxIter": 20}})
 
 
 # --- evaluation -----------------------------------------------------------------------------------
