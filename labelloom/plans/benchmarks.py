@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from labelloom.functions.text import clean_tokens
 from labelloom.operators import classify
 from labelloom.operators.feature_sets import feature_set
-from labelloom.plans.inputs import documents, labelled
+from labelloom.plans.inputs import labelled, texts
 from labelloom.plans.prepare import fit_once
 from labelloom.session import compact, materialize
 
@@ -32,11 +32,11 @@ def tfidf_pca_50(spark: SparkSession, root: str) -> DataFrame:
 
 def pca_2000_to_100(spark: SparkSession, root: str) -> DataFrame:
     """PCA from 2,000 hashed terms to 100 components over all documents."""
-    tokens = documents(spark, root).select("doc_id", clean_tokens("text").alias("tokens"))
+    tokens = texts(spark, root).select("id", clean_tokens("comment").alias("tokens"))
     tf = compact(materialize(HashingTF(numFeatures=2000, inputCol="tokens", outputCol="tf")
-                             .transform(tokens).select("doc_id", "tf"), "tf"), 2_000)
+                             .transform(tokens).select("id", "tf"), "tf"), 1_000)
     model = PCA(k=100, inputCol="tf", outputCol="pca").fit(tf)
-    return model.transform(tf).select("doc_id", vector_to_array("pca").alias("pca"))
+    return model.transform(tf).select("id", vector_to_array("pca").alias("pca"))
 
 
 def word2vec_100(spark: SparkSession, root: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.numeric import dot, sigmoid
+from labelloom.session import spread
 from labelloom.sources.tables import read_table
 
 DIM = 64
@@ -18,12 +19,17 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "documents")
 
 
+def texts(spark: SparkSession, root: str) -> DataFrame:
+    """(id, comment): documents, spread for costly work on their texts."""
+    return spread(documents(spark, root).select(
+        F.col("doc_id").alias("id"), F.col("text").alias("comment")), "id")
+
+
 def labelled(spark: SparkSession, root: str, label: str = "quality") -> DataFrame:
     """(id, comment, label): documents that have a label."""
-    labels = read_table(spark, root, "labels").select("doc_id", F.col(label).alias("label"))
-    return (documents(spark, root).join(labels, "doc_id")
-            .select(F.col("doc_id").alias("id"), F.col("text").alias("comment"),
-                    F.col("label").try_cast("float").alias("label")))
+    labels = read_table(spark, root, "labels").select(
+        F.col("doc_id").alias("id"), F.col(label).try_cast("float").alias("label"))
+    return texts(spark, root).join(labels, "id")
 
 
 def maybe_labelled(spark: SparkSession, root: str) -> DataFrame:

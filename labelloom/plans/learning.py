@@ -15,7 +15,7 @@ from labelloom.operators.sampling import train_test_split
 from labelloom.plans import sqltext as q
 from labelloom.plans.experiment import run_matrix
 from labelloom.plans.inputs import (FIXED_PREDICTIONS_SQL, FIXED_SCORE_SQL, LABELLED_SQL, documents,
-                                    fixed_predictions, fixed_score, labelled, vectors)
+                                    fixed_predictions, fixed_score, labelled, texts, vectors)
 from labelloom.plans.prepare import fit_once, sentence_corpus, token_corpus
 from labelloom.plans.registry import query
 from labelloom.session import compact, materialize, scratch_dir
@@ -42,8 +42,7 @@ def flagship(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, root: str) -> DataFrame:
-    return documents(spark, root).select(F.col("doc_id").alias("id"),
-                                         tx.clean_tokens("text").alias("tokens"))
+    return texts(spark, root).select("id", tx.clean_tokens("comment").alias("tokens"))
 
 
 _TERMS = f"SELECT doc_id AS id, unnest({q.clean_tokens('text')}) AS term FROM documents"

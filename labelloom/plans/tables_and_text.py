@@ -12,7 +12,7 @@ from labelloom.functions.numeric import (array_to_vector, element_columns, float
 from labelloom.operators import curate, relational as rel, sampling, tokens as tok, weights
 from labelloom.plans import sqltext as q
 from labelloom.plans.inputs import (DIM, LABELLED_SQL, documents, labelled, maybe_labelled,
-                                    requests, sourced, vectors)
+                                    requests, sourced, texts, vectors)
 from labelloom.plans.registry import query
 from labelloom.session import scratch_dir
 from labelloom.sources import requests as rq
@@ -366,15 +366,13 @@ def shuffle_order(spark: SparkSession, root: str) -> DataFrame:
 
 @query("text_clean", f"SELECT doc_id AS id, {q.clean('text')} AS comment FROM documents")
 def text_clean(spark: SparkSession, root: str) -> DataFrame:
-    return documents(spark, root).select(F.col("doc_id").alias("id"),
-                                         tx.clean_text("text").alias("comment"))
+    return texts(spark, root).withColumn("comment", tx.clean_text("comment"))
 
 
 @query("text_clean_unicode", "SELECT doc_id AS id, " + q.clean("text", r"[^\p{L}\p{N}_\s]")
        + " AS comment FROM documents")
 def text_clean_unicode(spark: SparkSession, root: str) -> DataFrame:
-    return documents(spark, root).select(F.col("doc_id").alias("id"),
-                                         tx.clean_text("text", unicode=True).alias("comment"))
+    return texts(spark, root).withColumn("comment", tx.clean_text("comment", unicode=True))
 
 
 def _token_columns(tokens):
@@ -389,28 +387,27 @@ def _token_sql(tokens: str) -> str:
 
 @query("tokenize", _token_sql(q.tokens("text")))
 def tokenize(spark: SparkSession, root: str) -> DataFrame:
-    return documents(spark, root).select(F.col("doc_id").alias("id"), tx.tokenize("text").alias("t")) \
+    return texts(spark, root).select("id", tx.tokenize("comment").alias("t")) \
         .select("id", *_token_columns("t"))
 
 
 @query("normalize_tokens", _token_sql(q.normalized("text")))
 def normalize_tokens(spark: SparkSession, root: str) -> DataFrame:
-    return documents(spark, root).select(
-        F.col("doc_id").alias("id"), tx.normalize_tokens(tx.tokenize("text")).alias("t")) \
+    return texts(spark, root).select(
+        "id", tx.normalize_tokens(tx.tokenize("comment")).alias("t")) \
         .select("id", *_token_columns("t"))
 
 
 @query("remove_stopwords", _token_sql(q.without_stopwords(q.tokens("text"))))
 def remove_stopwords(spark: SparkSession, root: str) -> DataFrame:
-    return documents(spark, root).select(
-        F.col("doc_id").alias("id"), tx.remove_stopwords(tx.tokenize("text")).alias("t")) \
+    return texts(spark, root).select(
+        "id", tx.remove_stopwords(tx.tokenize("comment")).alias("t")) \
         .select("id", *_token_columns("t"))
 
 
 @query("clean_tokens", _token_sql(q.clean_tokens("text")))
 def clean_tokens(spark: SparkSession, root: str) -> DataFrame:
-    return documents(spark, root).select(F.col("doc_id").alias("id"),
-                                         tx.clean_tokens("text").alias("t")) \
+    return texts(spark, root).select("id", tx.clean_tokens("comment").alias("t")) \
         .select("id", *_token_columns("t"))
 
 
@@ -422,8 +419,7 @@ def _suffix_dictionary(tokens: DataFrame) -> DataFrame:
 
 
 def _normalized(spark: SparkSession, root: str) -> DataFrame:
-    return documents(spark, root).select(F.col("doc_id").alias("id"),
-                                         tx.normalized_tokens("text").alias("tokens"))
+    return texts(spark, root).select("id", tx.normalized_tokens("comment").alias("tokens"))
 
 
 @query("lemmatize", _token_sql(

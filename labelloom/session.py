@@ -62,6 +62,19 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame, by: str) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores.
+
+    Multi-line CSV, gzip files and Parquet files of one row group are read by
+    one task each, and costly text work would stay in it.  Large tables have
+    more splits than cores and are passed on as they are.  Hashing by the row
+    id gives the same rows per task on a retry, and later groupings by that id
+    need no further shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, by)
+
+
 def compact(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
     """Shrink the partition count of a small frame before iterative training.
 

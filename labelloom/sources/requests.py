@@ -21,22 +21,28 @@ _ITEM = f"struct<{ID_FIELD}:string,{COMMENT_FIELD}:string>"
 def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     """Add ``items`` (array of id and comment) and ``reject_reason`` to each body.
 
-    A single object in place of a list counts as a list of one.  Exactly one of
-    the two new columns is null.
+    A single object in place of a list counts as a list of one; every item must
+    be an object with an id.  Exactly one of the two new columns is null.  The
+    usual form is read in one pass; only other bodies are looked at again.
     """
-    parsed = df.withColumn("_v", F.try_parse_json(F.col(body)))
     path = f"$.{REQUEST_FIELD}"
-    is_object = F.schema_of_variant("_v").startswith("OBJECT")
-    has_field = F.try_variant_get("_v", path, "variant").isNotNull()
-    many = F.try_variant_get("_v", path, f"array<{_ITEM}>")
-    one = F.try_variant_get("_v", path, _ITEM)
-    items = F.coalesce(many, F.when(one.isNotNull(), F.array(one)))
-    reason = (F.when(F.col("_v").isNull(), NOT_JSON)
-              .when(~is_object | ~has_field, MISSING_FIELD)
-              .when(items.isNull(), BAD_ITEMS))
+    usual = F.from_json(F.col(body), f"{REQUEST_FIELD} array<{_ITEM}>")[REQUEST_FIELD]
+    parsed = df.withColumn("_usual", usual)
+    odd = F.when(F.col("_usual").isNull(), F.try_parse_json(F.col(body)))
+    parsed = parsed.withColumn("_odd", odd)
+    single = F.try_variant_get("_odd", path, _ITEM)
+    parsed = parsed.withColumn("_items", F.coalesce(
+        "_usual", F.when(single.isNotNull(), F.array(single))))
+    broken = F.exists("_items", lambda i: i.isNull() | i[ID_FIELD].isNull())
+    has_field = F.try_variant_get("_odd", path, "variant").isNotNull()
+    reason = (F.when(F.col("_items").isNotNull() & ~broken, F.lit(None))
+              .when(F.col("_items").isNotNull(), BAD_ITEMS)
+              .when(F.col("_odd").isNull(), NOT_JSON)
+              .when(~has_field, MISSING_FIELD)
+              .otherwise(BAD_ITEMS))
     return (parsed.withColumn("reject_reason", reason)
-            .withColumn("items", F.when(F.col("reject_reason").isNull(), items))
-            .drop("_v"))
+            .withColumn("items", F.when(F.col("reject_reason").isNull(), F.col("_items")))
+            .drop("_usual", "_odd", "_items"))
 
 
 def accepted_comments(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -46,16 +46,22 @@ BODIES = [
     (7, json.dumps({"textComments": []})),
     (8, json.dumps([1, 2])),
     (9, json.dumps({"textComments": [{"id": 7, "comment": "n"}]})),
+    (10, json.dumps({"textComments": [{"id": "d", "comment": "x"}, 5]})),
+    (11, json.dumps({"textComments": [{"comment": "no id"}]})),
+    (12, json.dumps({"textComments": None})),
+    (13, json.dumps({"textComments": [{"id": "e", "comment": "x", "more": [1]}], "other": 1})),
 ]
 
 
 def test_requests(spark):
     parsed = rq.parse_requests(spark.createDataFrame(BODIES, "n int, body string"))
     good = sorted((r.n, r.id, r.comment) for r in rq.accepted_comments(parsed, ("n",)).collect())
-    assert good == [(1, "a", "x"), (1, "b", "y"), (2, "c", "z"), (9, "7", "n")]
+    assert good == [(1, "a", "x"), (1, "b", "y"), (2, "c", "z"), (9, "7", "n"),
+                    (13, "e", "x")]
     bad = {r.n: r.reject_reason for r in rq.rejected_requests(parsed).collect()}
     assert bad == {3: "missing_textComments", 4: "not_json", 5: "not_json", 6: "bad_items",
-                   8: "missing_textComments"}
+                   8: "missing_textComments", 10: "bad_items", 11: "bad_items",
+                   12: "bad_items"}
 
 
 def test_response(spark):
