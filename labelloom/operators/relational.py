@@ -91,16 +91,31 @@ def misclassified(df: DataFrame, row_id: str = "id", label: str = "label",
     return df.filter(F.col(prediction) != F.col(label)).orderBy(row_id).limit(limit)
 
 
+def exploded(df: DataFrame, keep: Sequence[str | Column], values: str | Column,
+             name: str) -> DataFrame:
+    """One row per non-null array element.
+
+    For plain ``explode`` Spark adds a filter on the array's size and moves it to
+    the scan, where it evaluates the array expression twice more.  The outer
+    form has no such filter; dropping its nulls gives the same rows.
+    """
+    return (df.select(*keep, F.explode_outer(values).alias(name))
+            .filter(F.col(name).isNotNull()))
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: str, spread: Column, how: str = "inner",
-                salts: int = 16) -> DataFrame:
+                salts: int | None = None) -> DataFrame:
     """Equi-join whose left side may hold one key in a third of its rows.
 
     Left rows of a key are spread over ``salts`` tasks by ``spread``, and each
-    right row is repeated once per salt.  Valid for joins that keep left rows:
+    right row is repeated once per salt: 16 times on a large cluster, less where
+    there are few cores to spread over.  Valid for joins that keep left rows:
     inner, left, left_semi, left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot do a {how} join")
+    if salts is None:
+        salts = min(16, max(2, left.sparkSession.sparkContext.defaultParallelism // 4))
     l = left.withColumn("_salt", salt_of(spread, salts))
     r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return l.join(r, [on, "_salt"], how).drop("_salt")

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.numeric import finite
-from labelloom.operators.relational import salted_join
+from labelloom.operators.relational import exploded, salted_join
 
 
 def term_frequency(df: DataFrame, tokens: str = "tokens", row_id: str = "id") -> DataFrame:
     """(id, term, tf).  All tokens of a row sit in one task, so the map-side
     combine already yields the final counts and only those are shuffled."""
-    return (df.select(row_id, F.explode(tokens).alias("term"))
+    return (exploded(df, [row_id], tokens, "term")
             .groupBy(row_id, "term").agg(F.count("*").alias("tf")))
 
 
@@ -23,12 +23,12 @@ def document_frequency(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(term, df), counted straight from the rows: repeats within a row are
     removed inside the row, so the only shuffle is one partial count per term
     and task, which also settles terms that occur everywhere."""
-    return (df.select(F.explode(F.array_distinct(tokens)).alias("term"))
+    return (exploded(df, [], F.array_distinct(tokens), "term")
             .groupBy("term").agg(F.count("*").alias("df")))
 
 
 def tfidf(df: DataFrame, tokens: str = "tokens", row_id: str = "id",
-          salts: int = 16) -> DataFrame:
+          salts: int | None = None) -> DataFrame:
     """(id, term, tf, weight) with weight = tf * ln((N + 1) / (df + 1))."""
     n = df.agg(F.count("*")).scalar()
     idf = (document_frequency(df, tokens)
@@ -67,7 +67,7 @@ def mean_pool(df: DataFrame, row_id: str = "id", vector: str = "vector",
 
 
 def pooled_word_vectors(df: DataFrame, word_vectors: DataFrame, tokens: str = "tokens",
-                        row_id: str = "id", unknown: str = "skip", salts: int = 16,
+                        row_id: str = "id", unknown: str = "skip", salts: int | None = None,
                         dim: int | None = None) -> DataFrame:
     """Mean of the word vectors of each row's tokens: (id, features).
 

@@ -16,7 +16,7 @@ from labelloom.session import compact, materialize
 
 
 def _corpus(spark: SparkSession, root: str) -> DataFrame:
-    return compact(materialize(labelled(spark, root), "corpus"))
+    return materialize(labelled(spark, root), "corpus")
 
 
 def _tfidf50(spark: SparkSession, root: str) -> DataFrame:

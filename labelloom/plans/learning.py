@@ -106,7 +106,7 @@ def _word_vectors(tokens: DataFrame) -> DataFrame:
     digest = F.md5("word")
     parts = [(F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("double") / 65535.0 - 0.5)
              .cast("float") for i in range(_WORD_DIM)]
-    return (tokens.select(F.explode(F.array_distinct("tokens")).alias("word")).distinct()
+    return (rel.exploded(tokens, [], F.array_distinct("tokens"), "word").distinct()
             .filter(F.length("word") >= 4).select("word", F.array(*parts).alias("vector")))
 
 
@@ -135,7 +135,7 @@ def hashing_tf(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, root: str, name: str, **options) -> DataFrame:
-    corpus = compact(materialize(labelled(spark, root), "corpus"))
+    corpus = materialize(labelled(spark, root), "corpus")
     model = fit_once(feature_set(name, **options), corpus)
     return model.transform(corpus).select("id", "label", vector_to_array("features").alias("features"))
 
@@ -178,7 +178,7 @@ def _all_equal(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
 @query("stages_roundtrip", f"""
   SELECT count(*) AS n_rows, count(*) AS n_equal FROM ({LABELLED_SQL})""")
 def stages_roundtrip(spark: SparkSession, root: str) -> DataFrame:
-    corpus = compact(materialize(labelled(spark, root), "corpus"))
+    corpus = materialize(labelled(spark, root), "corpus")
     model = fit_once(feature_set("tfidf", num_features=256, k=8), corpus)
     back = load_pipeline(save_model(model, scratch_dir(spark, "stages")))
     return _all_equal(model.transform(corpus), back.transform(corpus), "features")

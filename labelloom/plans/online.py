@@ -12,7 +12,7 @@ from labelloom.operators.feature_sets import hashed_tfidf
 from labelloom.plans.inputs import documents, labelled, requests
 from labelloom.plans.prepare import fit_once
 from labelloom.plans.registry import query
-from labelloom.session import compact, materialize, scratch_dir
+from labelloom.session import materialize, scratch_dir, spread
 from labelloom.sources.models import load_pipeline, save_model
 from labelloom.sources.requests import accepted_comments, parse_requests
 from labelloom.sources.tables import read_table, stream_table
@@ -104,7 +104,7 @@ def stream_late_data(spark: SparkSession, root: str) -> DataFrame:
 def stream_score(spark: SparkSession, root: str) -> DataFrame:
     # Whether a comment gets the prediction it would get in a batch job.
     base = scratch_dir(spark, "stream-score")
-    train = compact(materialize(labelled(spark, root), "corpus"))
+    train = materialize(labelled(spark, root), "corpus")
     stages = [*hashed_tfidf(num_features=1024).getStages(), make_classifier("logistic", maxIter=20)]
     fitted = fit_once(Pipeline(stages=stages), train, keep=("id", "label"))
     model = load_pipeline(save_model(fitted, f"{base}/model"))
@@ -112,7 +112,7 @@ def stream_score(spark: SparkSession, root: str) -> DataFrame:
     st.score_requests(stream, model, f"{base}/out", f"{base}/rejected", f"{base}/checkpoint",
                       interval=None).awaitTermination()
     online = spark.read.schema(PREDICTIONS).parquet(f"{base}/out")
-    batch = model.transform(accepted_comments(parse_requests(requests(documents(spark, root)))))
+    batch = model.transform(accepted_comments(parse_requests(requests(spread(documents(spark, root), "doc_id")))))
     pairs = online.join(batch.select("id", F.col("prediction").alias("expected")), "id", "full")
     return pairs.select("id", F.col("prediction").eqNullSafe(F.col("expected"))
                         .alias("as_in_batch"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 
+from labelloom.functions.hashing import array_key, key_digest
 from labelloom.functions.text import clean_tokens
 from labelloom.operators.curate import conflict_filter
 from labelloom.operators.feature_sets import feature_set
@@ -15,9 +16,15 @@ from labelloom.session import compact, materialize
 
 def token_corpus(comments: DataFrame, balance: bool = False) -> DataFrame:
     """(id, comment, label, tokens): non-null, non-empty, unique token lists
-    with one label each; optionally with classes of equal size."""
-    rows = drop_nulls(comments).withColumn("tokens", clean_tokens("comment"))
-    kept = conflict_filter(nonempty_tokens(rows), "tokens")
+    with one label each; optionally with classes of equal size.
+
+    Tokens and their digest are written once.  The grouping then scans only the
+    id, label and digest columns of that table.
+    """
+    rows = (drop_nulls(comments).withColumn("tokens", clean_tokens("comment"))
+            .withColumn("token_key", key_digest(array_key("tokens"))))
+    rows = nonempty_tokens(materialize(rows, "tokens"))
+    kept = conflict_filter(rows, "token_key").drop("token_key")
     return balance_classes(kept) if balance else kept
 
 

@@ -14,7 +14,7 @@ from labelloom.plans import sqltext as q
 from labelloom.plans.inputs import (DIM, LABELLED_SQL, documents, labelled, maybe_labelled,
                                     requests, sourced, texts, vectors)
 from labelloom.plans.registry import query
-from labelloom.session import scratch_dir
+from labelloom.session import scratch_dir, spread
 from labelloom.sources import requests as rq
 from labelloom.sources import tables as tb
 from labelloom.sources.schemas import TEXT_Y_CSV, _strings
@@ -65,11 +65,15 @@ def _total(values: str):
         .alias("total")
 
 
+def _requests(spark: SparkSession, root: str) -> DataFrame:
+    return requests(spread(documents(spark, root), "doc_id"))
+
+
 @query("request_parse", """
   SELECT doc_id AS request_id, CAST(doc_id AS VARCHAR) AS id, text AS comment
   FROM documents WHERE lang IN ('en', 'es')""")
 def request_parse(spark: SparkSession, root: str) -> DataFrame:
-    return rq.accepted_comments(rq.parse_requests(requests(documents(spark, root))), ("request_id",))
+    return rq.accepted_comments(rq.parse_requests(_requests(spark, root)), ("request_id",))
 
 
 @query("request_reject", """
@@ -77,7 +81,7 @@ def request_parse(spark: SparkSession, root: str) -> DataFrame:
          CASE lang WHEN 'fr' THEN 'missing_textComments' ELSE 'not_json' END AS reject_reason
   FROM documents WHERE lang NOT IN ('en', 'es')""")
 def request_reject(spark: SparkSession, root: str) -> DataFrame:
-    rejected = rq.rejected_requests(rq.parse_requests(requests(documents(spark, root))))
+    rejected = rq.rejected_requests(rq.parse_requests(_requests(spark, root)))
     return rejected.select("request_id", "reject_reason")
 
 
@@ -413,7 +417,7 @@ def clean_tokens(spark: SparkSession, root: str) -> DataFrame:
 
 def _suffix_dictionary(tokens: DataFrame) -> DataFrame:
     """A stand-in lemma table drawn from the corpus: forms in -ing lose it."""
-    return (tokens.select(F.explode(F.array_distinct("tokens")).alias("form"))
+    return (rel.exploded(tokens, [], F.array_distinct("tokens"), "form")
             .filter(F.col("form").rlike("^.{3,}ing$")).distinct()
             .select("form", F.expr("substring(form, 1, length(form) - 3)").alias("lemma")))
 

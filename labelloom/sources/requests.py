@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.operators.relational import exploded
+
 # Field names of the request and the response.
 REQUEST_FIELD = "textComments"
 ID_FIELD = "id"
@@ -18,6 +22,40 @@ BAD_ITEMS = "bad_items"
 _ITEM = f"struct<{ID_FIELD}:string,{COMMENT_FIELD}:string>"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often it is used.
+
+    Spark moves filters on derived columns down to the scan and repeats the
+    whole expression there for every mention; a lambda variable is one mention.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _parsed(body: Column) -> Column:
+    """struct(items, reason); exactly one of them is null."""
+    path = f"$.{REQUEST_FIELD}"
+
+    def verdict(odd: Column, items: Column) -> Column:
+        broken = F.exists(items, lambda i: i.isNull() | i[ID_FIELD].isNull())
+        has_field = F.try_variant_get(odd, path, "variant").isNotNull()
+        reason = (F.when(items.isNotNull() & ~broken, F.lit(None))
+                  .when(items.isNotNull(), BAD_ITEMS)
+                  .when(odd.isNull(), NOT_JSON)
+                  .when(~has_field, MISSING_FIELD)
+                  .otherwise(BAD_ITEMS))
+        return _let(reason, lambda r: F.struct(F.when(r.isNull(), items).alias("items"),
+                                               r.alias("reason")))
+
+    def second_look(usual: Column, odd: Column) -> Column:
+        single = F.try_variant_get(odd, path, _ITEM)
+        items = F.coalesce(usual, _let(single, lambda s: F.when(s.isNotNull(), F.array(s))))
+        return _let(items, lambda i: verdict(odd, i))
+
+    usual_form = F.from_json(body, f"{REQUEST_FIELD} array<{_ITEM}>")[REQUEST_FIELD]
+    return _let(usual_form, lambda usual: _let(
+        F.when(usual.isNull(), F.try_parse_json(body)), lambda odd: second_look(usual, odd)))
+
+
 def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     """Add ``items`` (array of id and comment) and ``reject_reason`` to each body.
 
@@ -25,30 +63,17 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     be an object with an id.  Exactly one of the two new columns is null.  The
     usual form is read in one pass; only other bodies are looked at again.
     """
-    path = f"$.{REQUEST_FIELD}"
-    usual = F.from_json(F.col(body), f"{REQUEST_FIELD} array<{_ITEM}>")[REQUEST_FIELD]
-    parsed = df.withColumn("_usual", usual)
-    odd = F.when(F.col("_usual").isNull(), F.try_parse_json(F.col(body)))
-    parsed = parsed.withColumn("_odd", odd)
-    single = F.try_variant_get("_odd", path, _ITEM)
-    parsed = parsed.withColumn("_items", F.coalesce(
-        "_usual", F.when(single.isNotNull(), F.array(single))))
-    broken = F.exists("_items", lambda i: i.isNull() | i[ID_FIELD].isNull())
-    has_field = F.try_variant_get("_odd", path, "variant").isNotNull()
-    reason = (F.when(F.col("_items").isNotNull() & ~broken, F.lit(None))
-              .when(F.col("_items").isNotNull(), BAD_ITEMS)
-              .when(F.col("_odd").isNull(), NOT_JSON)
-              .when(~has_field, MISSING_FIELD)
-              .otherwise(BAD_ITEMS))
-    return (parsed.withColumn("reject_reason", reason)
-            .withColumn("items", F.when(F.col("reject_reason").isNull(), F.col("_items")))
-            .drop("_usual", "_odd", "_items"))
+    return (df.withColumn("_parsed", _parsed(F.col(body)))
+            .withColumn("items", F.col("_parsed.items"))
+            .withColumn("reject_reason", F.col("_parsed.reason")).drop("_parsed"))
 
 
 def accepted_comments(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row (id, comment) per comment of every accepted request."""
-    return (parsed.filter(F.col("reject_reason").isNull())
-            .select(*keep, F.explode("items").alias("item"))
+    """One row (id, comment) per comment of every accepted request.
+
+    Rejected requests have null items and so give no rows.
+    """
+    return (exploded(parsed, keep, "items", "item")
             .select(*keep, F.col(f"item.{ID_FIELD}"), F.col(f"item.{COMMENT_FIELD}")))
 
 
