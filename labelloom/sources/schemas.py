@@ -17,6 +17,7 @@ COMMENT_COLUMNS = ("label", "comment", "author", "subreddit", "score", "ups", "d
 TEXT_Y_COLUMNS = ("text", "Y")
 
 COMMENTS_CSV = _strings(*COMMENT_COLUMNS)
+COMMENTS_WITH_ID_CSV = _strings("id", *COMMENT_COLUMNS)
 TEXT_Y_CSV = _strings(*TEXT_Y_COLUMNS)
 
 LONG, STRING = T.LongType(), T.StringType()
