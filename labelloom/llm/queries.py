@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import exact_dedup, jaccard_join
+from labelloom.llm import exact_dedup, jaccard_join, mil_quality
 from labelloom.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) r USING (doc_id)""")
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_classes(table(spark, sf_dir, "documents"))
+
+
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> mil_quality.AttentionModel:
+    """Fitted on ``docs`` without the third that is held out."""
+    labels = table(spark, sf_dir, "labels")
+    return mil_quality.fit(docs, labels.where(id_crc("doc_id") % 3 != 1))
+
+
+@query("op10_attention_quality")
+def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = mil_quality.score(docs, quality_model(spark, sf_dir, docs))
+    return scored.select("doc_id", (id_crc("doc_id") % 3 == 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
