@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import exact_dedup, jaccard_join, mil_quality
+from labelloom.llm import decontaminate, exact_dedup, jaccard_join, mil_quality
 from labelloom.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,34 @@ def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = mil_quality.score(docs, quality_model(spark, sf_dir, docs))
     return scored.select("doc_id", (id_crc("doc_id") % 3 == 1).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op1_spaced_seed_decontamination", r"""
+    WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'),
+                         lambda x : x <> '') AS w FROM documents),
+    items AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'),
+                     lambda x : x <> '') AS v FROM benchmark),
+    dw AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM docs),
+    iw AS (SELECT item_id, unnest(v) AS t, generate_subscripts(v, 1) AS q FROM items),
+    diagonals AS (SELECT doc_id, item_id, p - q AS d, list(q) AS qs FROM dw JOIN iw USING (t)
+                  GROUP BY ALL HAVING count(*) >= 6),
+    hits AS (
+      SELECT doc_id, item_id, d FROM (SELECT *, unnest(qs) AS q FROM diagonals)
+      WHERE list_has_all(qs, [q, q + 1, q + 2, q + 4, q + 5, q + 6])
+         OR list_has_all(qs, [q, q + 1, q + 3, q + 4, q + 6, q + 7]) GROUP BY ALL),
+    steps AS (
+      SELECT doc_id, item_id, d, len(v) AS n, q, CASE WHEN v[q] = w[q + d] THEN 1 ELSE -1 END AS gain
+      FROM (SELECT *, unnest(range(greatest(1, 1 - d), least(len(v), len(w) - d) + 1)) AS q
+            FROM hits JOIN docs USING (doc_id) JOIN items USING (item_id))),
+    sums AS (SELECT *, sum(gain) OVER (PARTITION BY doc_id, item_id, d ORDER BY q) AS s FROM steps),
+    runs AS (SELECT doc_id, item_id, n, s - least(0, coalesce(min(s) OVER (
+               PARTITION BY doc_id, item_id, d ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS run
+             FROM sums),
+    found AS (SELECT doc_id, item_id, max(run) AS score FROM runs GROUP BY doc_id, item_id, n
+              HAVING max(run) >= least(10, ceil(0.8 * n)))
+    SELECT doc_id, count(item_id) > 0 AS contaminated, count(item_id) AS n_items,
+           coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id), '') AS items,
+           CAST(coalesce(max(score), 0) AS BIGINT) AS score
+    FROM documents LEFT JOIN found USING (doc_id) GROUP BY doc_id""")
+def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
