@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import materialize, text_of, unused
@@ -40,6 +40,7 @@ BUCKET_TOKENS = 1 << 20       # tokens in a group that one task takes at once
 CELL_BITS = 16                # cells of a sketch bucket
 CHUNK_TOKENS = 2 << 20        # tokens gathered in a task before they are sent
 GROUP = 3                     # frequent tokens expected in a group
+BROADCAST_ROWS = 1 << 20      # document keys broadcast at most: about 30 MB
 
 
 def set_id(tokens: np.ndarray) -> int | None:
@@ -49,16 +50,27 @@ def set_id(tokens: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each of 2n to 4n cells whether an odd number of tokens fall into it.
+
+    At most as many cells of two sets differ as tokens do.
+    """
+    bits = max(64, 1 << (2 * len(tokens)).bit_length())
+    counts = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _describe(size: int):
-    """(id, text_id, text) -> (id, text_id, n, sid)."""
+    """(id, text_id, text) -> (id, text_id, n, sid, parity)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch.column(2)):
-                sets = [(len(s), set_id(s)) for s in shingle_sets(piece, size)]
+                sets = [(len(s), set_id(s), parities(s)) for s in shingle_sets(piece, size)]
                 rows = slice(piece.first, piece.first + piece.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[rows], batch.column(1)[rows], pa.array([n for n, _ in sets], pa.int64()),
-                     pa.array([s for _, s in sets], pa.int64())], ["id", "text_id", "n", "sid"])
+                    [batch.column(0)[rows], batch.column(1)[rows], pa.array([s[0] for s in sets], pa.int64()),
+                     pa.array([s[1] for s in sets], pa.int64()), pa.array([s[2] for s in sets], pa.list_(pa.int64()))],
+                    ["id", "text_id", "n", "sid", "parity"])
     return run
 
 
@@ -90,15 +102,20 @@ def _cell(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _sketch(size: int, bits: int):
-    """(text) -> (bucket, cells, counts): what a task counts, bucket by bucket."""
+    """(text) -> (bucket, cells, counts): what a task counts, bucket by bucket; no counts: all 1."""
+    types = (pa.int64(), pa.binary(), pa.binary())
+
     def send(gathered: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         cells, counts = np.unique(_cell(np.concatenate(gathered), bits), return_counts=True)
-        rows = list(_bucket_rows(bits, cells << np.uint64(64 - bits - CELL_BITS),
-                                 (cells & np.uint64((1 << CELL_BITS) - 1)).astype(np.uint16),
-                                 counts.astype(np.uint32)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))],
-            ["bucket", "cells", "counts"])
+        rows = []
+        for part in (counts == 1, counts > 1):
+            if part.any():
+                hashes = cells[part] << np.uint64(64 - bits - CELL_BITS)
+                columns = [(cells[part] & np.uint64((1 << CELL_BITS) - 1)).astype(np.uint16)]
+                columns += [counts[part].astype(np.uint32)] if counts[part][0] > 1 else []
+                rows += [row if len(row) == 3 else (*row, None) for row in _bucket_rows(bits, hashes, *columns)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)],
+                                         ["bucket", "cells", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, total = [], 0
@@ -119,7 +136,7 @@ def _sketch(size: int, bits: int):
 def _frequent_cells(rows: pd.DataFrame) -> pd.DataFrame:
     totals = np.zeros(1 << CELL_BITS, dtype=np.int64)
     for cells, counts in zip(rows.cells, rows.counts):
-        totals[np.frombuffer(cells, dtype=np.uint16)] += np.frombuffer(counts, dtype=np.uint32)
+        totals[np.frombuffer(cells, dtype=np.uint16)] += 1 if counts is None else np.frombuffer(counts, np.uint32)
     found = np.flatnonzero(totals > FREQUENT)
     return pd.DataFrame({"cell": (int(rows.bucket.iloc[0]) << CELL_BITS) + found, "entries": totals[found]})
 
@@ -228,12 +245,13 @@ def _frequent_broadcast(spark, cells: DataFrame):
 
 
 def shingle_index(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """``sets`` (id, text_id, n, sid) of all rows and ``index`` (signature, sid).
+    """``sets`` (id, text_id, n, sid, parity) of all rows and ``index`` (signature, sid).
 
     The index holds the signatures that at least two different sets have.
     """
     spark = docs.sparkSession
-    sets = materialize(docs.mapInArrow(_describe(size), "id long, text_id long, n long, sid long"), "jaccard-sets")
+    sets = materialize(docs.mapInArrow(
+        _describe(size), "id long, text_id long, n long, sid long, parity array<long>"), "jaccard-sets")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(0, math.ceil(math.log2(max(1, total) / BUCKET_TOKENS)))
     texts = docs.select("text")
@@ -250,8 +268,46 @@ def shingle_index(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataF
     return sets, single.union(pairs.join(several, "signature", "left_semi"))
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar."""
+def _folded(parity: Column, words: Column) -> Column:
+    """The parities of half as many cells, if there are more than ``words``."""
+    halves = F.zip_with(F.slice(parity, 1, words), F.slice(parity, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(parity) > words, halves).otherwise(parity)
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that sizes and parities allow to be similar.
+
+    Sizes of similar sets differ by less than a factor of two (num / den above
+    a half), hence their cells by one doubling at most.
+    """
+    both = pairs
+    for side in "ab":
+        both = both.join(nodes.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"),
+                                      F.col("parity").alias(f"parity_{side}")), side)
+    both = both.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+    words = F.least(F.size("parity_a"), F.size("parity_b"))
+    differ = F.zip_with(_folded(F.col("parity_a"), words), _folded(F.col("parity_b"), words),
+                        lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    count = F.aggregate(differ, F.lit(0), lambda total, x: total + x)
+    return both.where((den + num) * count <= (den - num) * (F.col("n_a") + F.col("n_b"))).select(*pairs.columns)
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Those of the plausible pairs (a, b) whose sets are similar, by their tokens.
+
+    The texts are found by one row's key for each set: broadcast if few enough,
+    else by a shuffled join.
+    """
+    pairs = materialize(pairs, "jaccard-candidates")
+    sids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    keys = materialize(nodes.join(sids, "sid", "left_semi").select(
+        F.col("row.id").alias("id_r"), F.col("row.text_id").alias("text_id_r")).distinct(), "jaccard-keys")
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    texts = rows.join(keys, F.col("id").eqNullSafe(F.col("id_r")) & (F.col("text_id") == F.col("text_id_r")),
+                      "left_semi").select("text")
+    tokens = materialize(texts.mapInArrow(_tokens(size), "sid long, tokens array<long>").dropDuplicates(["sid"]),
+                         "jaccard-tokens")
     both = (pairs.join(tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
             .join(tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b"))
     common = F.size(F.array_intersect("x", "y"))
@@ -278,37 +334,32 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                        text_of(text_col).alias("text"))
     sets, index = shingle_index(rows, size, num, den)
     index = materialize(index, "jaccard-index")
-    nodes = sets.where("sid is not null").groupBy("sid").agg(
-        F.min("n").alias("n"), F.min("id").alias("least_id"), F.min(F.struct("id", "text_id")).alias("row"))
-    wanted = materialize(nodes.join(index.select("sid").distinct(), "sid").select(
-        "sid", "n", F.col("row.id").alias("id"), F.col("row.text_id").alias("text_id")), "jaccard-nodes")
-    sizes = wanted.select("sid", "n")
-    picked = wanted.select(F.col("id").alias("id_r"), F.col("text_id").alias("text_id_r"))
-    tokens = materialize(
-        rows.join(picked, F.col("id").eqNullSafe(F.col("id_r")) & (F.col("text_id") == F.col("text_id_r")), "left_semi")
-        .select("text").mapInArrow(_tokens(size), "sid long, tokens array<long>").dropDuplicates(["sid"]),
-        "jaccard-tokens")
+    nodes = materialize(sets.where("sid is not null").groupBy("sid").agg(
+        F.min("n").alias("n"), F.min("id").alias("least_id"), F.min(F.struct("id", "text_id")).alias("row"),
+        F.any_value("parity").alias("parity")), "jaccard-nodes")
 
     # The least set of a signature stands for it.
     heads = materialize(index.groupBy("signature").agg(F.min("sid").alias("head")), "jaccard-heads")
-    best = (index.join(heads, "signature").where("sid <> head").groupBy("sid", "head").count()
-            .groupBy("sid").agg(F.max(F.struct("count", "head")).alias("best"))
-            .select(F.col("sid").alias("a"), F.col("best.head").alias("b")))
-    links = materialize(_verified(_sized(best, sizes, num, den), tokens, num, den), "jaccard-links")
+    first = (index.join(heads, "signature").where("sid <> head")
+             .groupBy(F.col("sid").alias("a"), F.col("head").alias("b")).count())
+    best = (_plausible(first, nodes, num, den).groupBy("a").agg(F.max(F.struct("count", "b")).alias("best"))
+            .select("a", F.col("best.b").alias("b")))
+    links = materialize(_verified(best, rows, nodes, size, num, den), "jaccard-links")
     label = materialize(components(links, "jaccard-star"), "jaccard-labels")
 
-    marked = materialize(index.join(sizes, "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "signature", "sid", "n", F.coalesce("component", "sid").alias("component")), "jaccard-marked")
+    marked = materialize(index.join(label.withColumnRenamed("node", "sid"), "sid", "left").select(
+        "signature", "sid", F.coalesce("component", "sid").alias("component")), "jaccard-marked")
     main = materialize(marked.groupBy("signature").agg(F.min("component").alias("main"),
                                                        F.max("component").alias("last"))
                        .where("main <> last").select("signature", "main"), "jaccard-mixed")
     mixed = materialize(marked.join(main, "signature"), "jaccard-open")
     strays = mixed.where("component <> main").select(
-        "signature", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))
+        "signature", F.col("sid").alias("a"), F.col("component").alias("component_a"))
     rest = strays.join(mixed, "signature").where(
-        (F.col("component_a") != F.col("component")) & (den * F.least("n", "n_a") >= num * F.greatest("n", "n_a"))
+        (F.col("component_a") != F.col("component"))
         & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("sid")))).select("a", F.col("sid").alias("b"))
-    more = materialize(_verified(materialize(rest.distinct(), "jaccard-rest"), tokens, num, den), "jaccard-more")
+    rest = _plausible(rest.distinct(), nodes, num, den)
+    more = materialize(_verified(rest, rows, nodes, size, num, den), "jaccard-more")
     final = components(links.union(more), "jaccard-components")
 
     reach = nodes.select("sid", "least_id").join(final.withColumnRenamed("node", "sid"), "sid", "left").select(
@@ -321,13 +372,6 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
-    return (pairs.join(sizes.select(F.col("sid").alias("a"), F.col("n").alias("n_a")), "a")
-            .join(sizes.select(F.col("sid").alias("b"), F.col("n").alias("n_b")), "b")
-            .where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")).select("a", "b"))
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
              num: int = 3, den: int = 4) -> DataFrame:
     """The rows whose id is the smallest of their component, with all their columns.

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import decontaminate, exact_dedup, jaccard_join, mil_quality
-from labelloom.llm.common import id_crc, table
+from labelloom.llm import decontaminate, exact_dedup, jaccard_join, mil_quality, raking
+from labelloom.llm.common import id_crc, materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,3 +103,14 @@ def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents LEFT JOIN found USING (doc_id) GROUP BY doc_id""")
 def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# Sources closer to each other than they are, languages a little, topics equal; half of all tokens.
+MIX_TARGETS = {"source": raking.tempered(0.5), "lang": raking.tempered(0.8), "topic": raking.tempered(0.0)}
+MIX_FRACTION = 0.5
+
+
+@query("op5_raked_mixture")
+def op5_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = materialize(raking.described(table(spark, sf_dir, "documents")), "mixture-documents")
+    return raking.sample_mixture(docs, MIX_TARGETS, MIX_FRACTION)
