@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import decontaminate, exact_dedup, jaccard_join, mil_quality, raking
+from labelloom.llm import chat, decontaminate, exact_dedup, jaccard_join, mil_quality, raking
 from labelloom.llm.common import id_crc, materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,29 @@ MIX_FRACTION = 0.5
 def op5_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = materialize(raking.described(table(spark, sf_dir, "documents")), "mixture-documents")
     return raking.sample_mixture(docs, MIX_TARGETS, MIX_FRACTION)
+
+
+CONTROL_TALK = """SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'),
+                  (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"""
+
+
+@query("op7_prefix_target_chat", r"""
+    WITH turns AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'),
+                                      (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+    pieces AS (
+      SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+             length(regexp_replace(replace(text, '\', '\\'), '([<\[])(/?(?:s>|INST\]|ROLE))', '\1\\\2', 'g'))
+             + CASE role WHEN 'assistant' THEN 4 WHEN 'user' THEN 13 ELSE length(url_encode(role)) + 14 END AS size
+      FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+    sums AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY i) AS so_far FROM pieces)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(so_far) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
+    FROM sums GROUP BY conv_id""")
+def op7_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.expand(talks.union(spark.sql(CONTROL_TALK))))
