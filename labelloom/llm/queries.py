@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import chat, decontaminate, exact_dedup, jaccard_join, mil_quality, raking
+from labelloom.llm import chat, decontaminate, exact_dedup, jaccard_join, mil_quality, raking, warc
 from labelloom.llm.common import id_crc, materialize, table
+from labelloom.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -140,3 +141,21 @@ CONTROL_TALK = """SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'
 def op7_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.expand(talks.union(spark.sql(CONTROL_TALK))))
+
+
+@query("op2_warc_archive", """
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first,
+            (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((
+                 CAST(('0x' || substr(sha1(coalesce(html, '')), CAST(5 * (i // 4) + 1 AS BIGINT), 5)) AS BIGINT)
+                 >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1), '' ORDER BY i) FROM range(32) r(i)) AS payload_digest
+          FROM pages)""")
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = scratch_dir(spark, "warc")
+    warc.write_archive(pages, path)
+    read = warc.read_archive(spark, path).where("last")
+    return read.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").cast("long").alias("refers_to"))
