@@ -19,7 +19,8 @@ from labelloom.llm.common import materialize, text_of, unused
 MASKS = ("1110111", "11011011")
 MIN_SCORE = 10
 SHORT_SHARE = 0.8     # of an item's tokens, if that is less than MIN_SCORE
-BLOCK = 1 << 20       # seeds of the benchmark broadcast at once: about 50 MB
+BLOCK = 1 << 20       # seeds of the benchmark broadcast at once: about 100 MB
+BROADCAST_KEYS = 1 << 20  # keys of documents that were hit: about 50 MB
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -30,18 +31,23 @@ def token_hashes(text: Column) -> Column:
 
 
 def _seeds(rows: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
-    """(keep..., at, seed) for every mask and position of ``tokens``."""
-    at = F.explode(F.sequence(F.lit(0), F.size("tokens") - min(map(len, masks)))).alias("at")
-    placed = rows.where(F.size("tokens") >= min(map(len, masks))).select(*keep, "tokens", at)
-    # A mask that reaches beyond the last token gives null, which joins nothing.
+    """(keep..., at, seed) for every mask and position of ``tokens``.
+
+    Outer explosions, because Spark would repeat the tokens' expression in the
+    filter that it makes of inner ones; null seeds join nothing.  The tokens
+    end here, so that no row carries them further.
+    """
+    last = F.size("tokens") - min(map(len, masks))
+    placed = rows.select(*keep, "tokens", F.explode_outer(
+        F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
     seeds = [F.when(F.col("at") + len(mask) <= F.size("tokens"), F.xxhash64(
         F.lit(number), *(F.get("tokens", F.col("at") + i) for i, bit in enumerate(mask) if bit == "1")))
         for number, mask in enumerate(masks)]
-    return placed.select(*keep, "tokens", "at", F.explode(F.array(*seeds)).alias("seed"))
+    return placed.select(*keep, "at", F.explode_outer(F.array(*seeds)).alias("seed"))
 
 
 def _best_run() -> Column:
-    """(score, start, end): the best run of the diagonal, in tokens of the document."""
+    """(score, start, end): the best run of the diagonal, in tokens of the item."""
     low = F.greatest(F.lit(0), -F.col("diagonal"))
     high = F.least(F.size("item_tokens"), F.size("tokens") - F.col("diagonal"))
     nothing = F.lit(0)
@@ -63,28 +69,35 @@ def _best_run() -> Column:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", bench_text: str = "text",
              masks: tuple[str, ...] = MASKS, min_score: int = MIN_SCORE, block: int = BLOCK) -> DataFrame:
-    """(key, item, score, start, end): verified overlaps of ``docs`` (key, text).
+    """(key, item, score, begin, end): verified overlaps of ``docs`` (key, text).
 
-    ``start`` and ``end`` count the document's tokens.  The benchmark's seeds
-    are counted; up to ``block`` are broadcast at once, and a benchmark with
-    more goes through the documents in as many passes as it has blocks.
+    ``begin`` and ``end`` count the item's tokens.  The benchmark's seeds are
+    counted; up to ``block`` are broadcast at once, and a benchmark with more
+    goes through the documents in as many passes as it has blocks.  Only the
+    documents that were hit are read again to be compared.
     """
-    items = (benchmark.select(F.col(item_col).alias("item"), text_of(bench_text).alias("text")).distinct()
-             .select("item", token_hashes(F.col("text")).alias("tokens")).where(F.size("tokens") > 0))
-    seeds = materialize(_seeds(items, masks, "item").where("seed is not null").select(
-        "seed", "item", F.col("tokens").alias("item_tokens"), F.col("at").alias("item_at")), "decontaminate-seeds")
+    items = materialize(
+        benchmark.select(F.col(item_col).alias("item"), row_key(item_col, bench_text).alias("item_key"),
+                         text_of(bench_text).alias("text")).dropDuplicates(["item_key"])
+        .select("item", "item_key", token_hashes(F.col("text")).alias("item_tokens")), "decontaminate-items")
+    seeds = materialize(_seeds(items.withColumnRenamed("item_tokens", "tokens"), masks, "item_key")
+                        .where("seed is not null").withColumnRenamed("at", "item_at"), "decontaminate-seeds")
     passes = max(1, -(-seeds.count() // block))
     placed = _seeds(docs.select("key", token_hashes(text_of("text")).alias("tokens")), masks, "key")
-
-    def one_pass(number: int) -> DataFrame:
-        part = seeds.where(F.pmod(F.xxhash64("seed"), F.lit(passes)) == number)
-        hits = placed.join(F.broadcast(part), "seed").withColumn("diagonal", F.col("at") - F.col("item_at"))
-        best = hits.select("key", "item", F.size("item_tokens").alias("length"), _best_run().alias("best"))
-        needed = F.least(F.lit(min_score), F.ceil(F.lit(SHORT_SHARE) * F.col("length")))
-        return best.where(F.col("best.score") >= needed).select(
-            "key", "item", F.col("best.score").alias("score"), F.col("best.start").alias("begin"),
-            F.col("best.end").alias("end"), F.col("length"))
-    return reduce(DataFrame.union, map(one_pass, range(passes)))
+    found = [placed.join(F.broadcast(seeds.where(F.pmod(F.xxhash64("seed"), F.lit(passes)) == number)), "seed")
+             .select("key", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+             for number in range(passes)]
+    hits = materialize(reduce(DataFrame.union, found).distinct(), "decontaminate-hits")
+    keys = hits.select("key").distinct()
+    if hits.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    texts = docs.join(keys, "key", "left_semi").select("key", token_hashes(text_of("text")).alias("tokens"))
+    compared = hits.join(texts, "key").join(items, "item_key").select(
+        "key", "item", F.size("item_tokens").alias("length"), _best_run().alias("best"))
+    needed = F.least(F.lit(min_score), F.ceil(F.lit(SHORT_SHARE) * F.col("length")))
+    return compared.where(F.col("best.score") >= needed).select(
+        "key", "item", F.col("best.score").alias("score"), F.col("best.start").alias("begin"),
+        F.col("best.end").alias("end"))
 
 
 def row_key(id_col: str, text_col: str) -> Column:
