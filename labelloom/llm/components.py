@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import materialize
@@ -46,3 +48,45 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         before = state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def linked(index: DataFrame, nodes: DataFrame, may_link: Callable[[str, str], Column],
+           plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame],
+           name: str) -> DataFrame:
+    """``components`` of all verified links between nodes that share a signature.
+
+    ``index`` has (signature, sid).  The pairs of a large group are not all
+    looked at.  First every node meets, of the least nodes of its signatures,
+    the plausible one that it shares most with.  Then, for every signature
+    whose nodes are still in different components, the nodes outside its least
+    component meet all others of another component.  Pairs within a component
+    need no link, so none is missed.
+
+    ``nodes`` has (sid, traits), and ``may_link`` makes a cheap condition from
+    the traits of two nodes; it is part of the join, so pairs that it excludes
+    are never emitted.  ``plausible`` then drops pairs (a, b) that can't link
+    and keeps other columns, ``verified`` drops those that don't.
+    """
+    index = materialize(index, f"{name}-index")
+    heads = materialize(index.groupBy("signature").agg(F.min("sid").alias("head")), f"{name}-heads")
+    first = (index.join(heads, "signature").where("sid <> head")
+             .groupBy(F.col("sid").alias("a"), F.col("head").alias("b")).count())
+    best = (plausible(first).groupBy("a").agg(F.max(F.struct("count", "b")).alias("best"))
+            .select("a", F.col("best.b").alias("b")))
+    links = materialize(verified(best), f"{name}-links")
+    label = materialize(components(links, f"{name}-star"), f"{name}-labels")
+
+    marked = materialize(index.join(nodes, "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").select(
+        "signature", "sid", "traits", F.coalesce("component", "sid").alias("component")), f"{name}-marked")
+    main = materialize(marked.groupBy("signature").agg(F.min("component").alias("main"),
+                                                       F.max("component").alias("last"))
+                       .where("main <> last").select("signature", "main"), f"{name}-mixed")
+    mixed = materialize(marked.join(main, "signature"), f"{name}-open")
+    strays = mixed.where("component <> main").select(
+        "signature", F.col("sid").alias("a"), F.col("component").alias("component_a"), F.col("traits").alias("traits_a"))
+    rest = strays.join(mixed, "signature").where(
+        (F.col("component_a") != F.col("component"))
+        & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("sid")))
+        & may_link("traits_a", "traits")).select("a", F.col("sid").alias("b"))
+    more = materialize(verified(plausible(rest.distinct())), f"{name}-more")
+    return components(links.union(more), name)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import chat, decontaminate, exact_dedup, jaccard_join, mil_quality, raking, warc
+from labelloom.llm import chat, decontaminate, exact_dedup, fuzzy_lines, jaccard_join, mil_quality, raking, warc
 from labelloom.llm.common import id_crc, materialize, table
 from labelloom.session import scratch_dir
 
@@ -159,3 +159,8 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_archive(spark, path).where("last")
     return read.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                        F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op8_fuzzy_lines")
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.judge_lines(table(spark, sf_dir, "documents"))
