@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import chat, decontaminate, exact_dedup, fuzzy_lines, jaccard_join, mil_quality, raking, warc
+from labelloom.llm import bloom_lm, chat, decontaminate, exact_dedup, fuzzy_lines, jaccard_join, mil_quality, raking, warc
 from labelloom.llm.common import id_crc, materialize, table
 from labelloom.session import scratch_dir
 
@@ -164,3 +164,8 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_fuzzy_lines")
 def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.judge_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op3_bloom_filter_lm")
+def op3_bloom_filter_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(table(spark, sf_dir, "documents"), id_crc("doc_id") % 7 == 2)
