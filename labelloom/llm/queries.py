@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bloom_lm, chat, decontaminate, exact_dedup, fuzzy_lines, jaccard_join, mil_quality, raking, warc
+from labelloom.llm import bloom_lm, chat, decontaminate, exact_dedup, fuzzy_lines, jaccard_join, licenses, mil_quality, raking, warc
 from labelloom.llm.common import id_crc, materialize, table
 from labelloom.session import scratch_dir
 
@@ -169,3 +169,15 @@ def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_bloom_filter_lm")
 def op3_bloom_filter_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(table(spark, sf_dir, "documents"), id_crc("doc_id") % 7 == 2)
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.fit(docs))
+    sure = F.filter("found", lambda f: f["confirmed"])
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_predicted"),
+        F.size(sure).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda f: f["family"]))), ",").alias("families"),
+        F.coalesce(F.array_max(F.transform(sure, lambda f: f["probability"])), F.lit(0.0)).alias("probability"))
