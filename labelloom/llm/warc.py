@@ -182,6 +182,9 @@ class _Reader:
     def feed(self, data: bytes) -> Iterator[tuple]:
         self.buffer += data
         while True:
+            if self.state == "head":
+                # If the last block ends with a line's end, its separator was split and is given anew.
+                self.buffer = self.buffer.lstrip(b"\r\n")
             if self.state in ("head", "http"):
                 end = self.buffer.find(SEPARATOR)
                 if end < 0:
