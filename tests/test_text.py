@@ -90,17 +90,26 @@ def token_rows(spark):
     return spark.createDataFrame(rows, "id long, tokens array<string>")
 
 
-@pytest.mark.parametrize("max_inline", [10, 0])
-def test_lemmatize_both_ways(spark, token_rows, max_inline):
+def test_lemmatize(spark, token_rows):
     table = spark.createDataFrame([("running", "run"), ("dogs", "dog"), ("dogs", "doggo"), (None, "n")],
                                   "form string, lemma string")
-    got = {r.id: r.tokens for r in tok.lemmatize(token_rows, table, max_inline=max_inline).collect()}
+    got = {r.id: r.tokens for r in tok.lemmatize(token_rows, table).collect()}
     assert got == {1: ["run", "dog", "ran", "The"], 2: [], 3: None, 4: ["dog", "dog", "x"]}
 
 
-@pytest.mark.parametrize("max_inline", [10, 0])
-def test_stopword_table_both_ways(spark, token_rows, max_inline):
+def test_null_and_repeated_ids_keep_their_tokens(spark):
+    rows = [(None, ["dogs", "a"]), (7, ["dogs"]), (7, ["cats", "dogs"]), (7, ["dogs"]), (8, ["dogs", None])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    table = spark.createDataFrame([("dogs", "dog")], "form string, lemma string")
+    got = sorted((str(r.id), r.tokens) for r in tok.lemmatize(df, table).collect())
+    assert got[:3] == [("7", ["cats", "dog"]), ("7", ["dog"]), ("7", ["dog"])]
+    assert ("None", ["dog", "a"]) in got and ("8", ["dog", None]) in got
+    left = sorted((str(r.id), r.tokens) for r in tok.remove_stopword_table(df, spark.createDataFrame([("A",)], "w string")).collect())
+    assert ("None", ["dogs"]) in left and len(left) == 5
+
+
+def test_stopword_table(spark, token_rows):
     table = spark.createDataFrame([("the",), ("DOGS",), (None,)], "word string")
     got = {r.id: r.tokens for r in
-           tok.remove_stopword_table(token_rows, table, max_inline=max_inline).collect()}
+           tok.remove_stopword_table(token_rows, table).collect()}
     assert got == {1: ["running", "ran"], 2: [], 3: None, 4: ["x"]}
