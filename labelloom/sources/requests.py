@@ -18,6 +18,7 @@ PREDICTION_FIELD = "prediction"
 NOT_JSON = "not_json"
 MISSING_FIELD = "missing_textComments"
 BAD_ITEMS = "bad_items"
+NO_COMMENT = "item_without_comment"
 
 _ITEM = f"struct<{ID_FIELD}:string,{COMMENT_FIELD}:string>"
 
@@ -32,7 +33,7 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _parsed(body: Column) -> Column:
-    """struct(items, reason); exactly one of them is null."""
+    """struct(items, reason): what can be scored, and why not all of the body can."""
     path = f"$.{REQUEST_FIELD}"
 
     def verdict(odd: Column, items: Column) -> Column:
@@ -43,8 +44,10 @@ def _parsed(body: Column) -> Column:
                   .when(odd.isNull(), NOT_JSON)
                   .when(~has_field, MISSING_FIELD)
                   .otherwise(BAD_ITEMS))
-        return _let(reason, lambda r: F.struct(F.when(r.isNull(), items).alias("items"),
-                                               r.alias("reason")))
+        whole = F.filter(items, lambda i: i[COMMENT_FIELD].isNotNull())
+        partial = F.when(F.size(whole) < F.size(items), NO_COMMENT)
+        return _let(reason, lambda r: F.struct(F.when(r.isNull(), whole).alias("items"),
+                                               F.coalesce(r, partial).alias("reason")))
 
     def second_look(usual: Column, odd: Column) -> Column:
         single = F.try_variant_get(odd, path, _ITEM)
@@ -60,8 +63,10 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     """Add ``items`` (array of id and comment) and ``reject_reason`` to each body.
 
     A single object in place of a list counts as a list of one; every item must
-    be an object with an id.  Exactly one of the two new columns is null.  The
-    usual form is read in one pass; only other bodies are looked at again.
+    be an object with an id.  An unusable body has a reason and no items.  An item
+    without a comment is left out of the items and gives the body a reason, while
+    its sisters are kept.  The usual form is read in one pass; only other bodies
+    are looked at again.
     """
     return (df.withColumn("_parsed", _parsed(F.col(body)))
             .withColumn("items", F.col("_parsed.items"))
@@ -78,7 +83,7 @@ def accepted_comments(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
 
 
 def rejected_requests(parsed: DataFrame) -> DataFrame:
-    """The quarantine: unusable bodies with the reason."""
+    """The quarantine: bodies that can't be used, or not all of them, with the reason."""
     return parsed.filter(F.col("reject_reason").isNotNull()).drop("items")
 
 

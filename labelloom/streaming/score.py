@@ -68,6 +68,13 @@ def idempotent_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def one_per_id(batch: DataFrame, row_id: str = "id") -> DataFrame:
+    """One row per id, on every retry the same: the one with the smallest values."""
+    others = [c for c in batch.columns if c != row_id]
+    least = batch.groupBy(row_id).agg(F.min(F.struct(*others)).alias("_row"))
+    return least.select(row_id, *[F.col(f"_row.{c}").alias(c) for c in others]).select(batch.columns)
+
+
 def skip_scored_sink(path: str, score: Callable[[DataFrame], DataFrame] | None = None,
                      row_id: str = "id") -> Callable[[DataFrame, int], None]:
     """Like ``idempotent_sink``, but ids that an earlier batch wrote are left out
@@ -77,7 +84,7 @@ def skip_scored_sink(path: str, score: Callable[[DataFrame], DataFrame] | None =
     ids of this batch before any shuffle.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates([row_id])
+        fresh = one_per_id(batch, row_id)
         known = _earlier(batch, path, batch_id, row_id)
         if known is not None:
             fresh = skip_known(fresh, known, row_id)

@@ -92,3 +92,11 @@ def test_scan_reads_two_columns(spark, sf):
         ._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
     assert "EqualTo(lang,en)" in plan
+
+
+def test_item_without_comment_is_quarantined_alone(spark):
+    bodies = ['{"textComments":[{"id":"a","comment":"YES!"},{"id":"b"}]}', '{"textComments":[{"id":"c","comment":null}]}',
+              '{"textComments":[{"id":"d","comment":"no"}]}']
+    parsed = rq.parse_requests(spark.createDataFrame([(b,) for b in bodies], "body string"))
+    assert sorted(r.id for r in rq.accepted_comments(parsed).collect()) == ["a", "d"]
+    assert [r.reject_reason for r in rq.rejected_requests(parsed).collect()] == [rq.NO_COMMENT] * 2
