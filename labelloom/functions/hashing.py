@@ -44,8 +44,3 @@ def key_digest(key: Column | str) -> Column:
 def array_key(tokens: Column | str) -> Column:
     """An unambiguous string form of an array, usable with ``key_digest``."""
     return F.to_json(_col(tokens))
-
-
-def salt_of(row_id: Column | str, salts: int) -> Column:
-    """Spread rows of one hot key over ``salts`` tasks."""
-    return F.pmod(F.xxhash64(_col(row_id)), F.lit(salts)).cast("int")

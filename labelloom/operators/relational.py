@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.functions.hashing import salt_of
 from labelloom.functions.numeric import label_as_float
 from labelloom.functions.text import is_nonempty
 
@@ -86,9 +85,10 @@ def label_message(prediction: Column | str = "prediction", positive: str = POSIT
 
 
 def misclassified(df: DataFrame, row_id: str = "id", label: str = "label",
-                  prediction: str = "prediction", limit: int = 100) -> DataFrame:
-    """The first errors by id, as a top-k (no global sort)."""
-    return df.filter(F.col(prediction) != F.col(label)).orderBy(row_id).limit(limit)
+                  prediction: str = "prediction", limit: int | None = None) -> DataFrame:
+    """All errors, or the first ``limit`` by id as a top-k (no global sort)."""
+    errors = df.filter(F.col(prediction) != F.col(label))
+    return errors if limit is None else errors.orderBy(row_id).limit(limit)
 
 
 def exploded(df: DataFrame, keep: Sequence[str | Column], values: str | Column,
@@ -101,21 +101,3 @@ def exploded(df: DataFrame, keep: Sequence[str | Column], values: str | Column,
     """
     return (df.select(*keep, F.explode_outer(values).alias(name))
             .filter(F.col(name).isNotNull()))
-
-
-def salted_join(left: DataFrame, right: DataFrame, on: str, spread: Column, how: str = "inner",
-                salts: int | None = None) -> DataFrame:
-    """Equi-join whose left side may hold one key in a third of its rows.
-
-    Left rows of a key are spread over ``salts`` tasks by ``spread``, and each
-    right row is repeated once per salt: 16 times on a large cluster, less where
-    there are few cores to spread over.  Valid for joins that keep left rows:
-    inner, left, left_semi, left_anti.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"salted_join cannot do a {how} join")
-    if salts is None:
-        salts = min(16, max(2, left.sparkSession.sparkContext.defaultParallelism // 4))
-    l = left.withColumn("_salt", salt_of(spread, salts))
-    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return l.join(r, [on, "_salt"], how).drop("_salt")

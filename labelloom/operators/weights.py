@@ -5,18 +5,33 @@ from __future__ import annotations
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.numeric import finite
-from labelloom.operators.relational import exploded, salted_join
+from labelloom.operators.relational import exploded
 
 
 def term_frequency(df: DataFrame, tokens: str = "tokens", row_id: str = "id") -> DataFrame:
-    """(id, term, tf).  All tokens of a row sit in one task, so the map-side
-    combine already yields the final counts and only those are shuffled."""
-    return (exploded(df, [row_id], tokens, "term")
-            .groupBy(row_id, "term").agg(F.count("*").alias("tf")))
+    """(id, term, tf), counted inside each row, so nothing is shuffled."""
+    return (exploded(df, [row_id], _runs(F.col(tokens)), "_run")
+            .select(row_id, F.col("_run.term").alias("term"), F.col("_run.tf").alias("tf")))
+
+
+def _runs(tokens: Column) -> Column:
+    """(term, tf) of an array: sorted, then the lengths of equal runs.
+
+    Values that are used more than once are bound in lambdas.
+    """
+    def counted(words: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(words) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        return F.transform(F.array(starts), lambda s: F.transform(s, lambda at, n: F.struct(
+            F.get(words, at).alias("term"),
+            (F.coalesce(F.get(s, n + 1), F.size(words)) - at).cast("bigint").alias("tf"))))
+
+    ordered = F.array_sort(F.filter(tokens, lambda t: t.isNotNull()))
+    return F.flatten(F.flatten(F.transform(F.array(ordered), lambda words: F.when(F.size(words) > 0, counted(words)))))
 
 
 def document_frequency(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -27,14 +42,17 @@ def document_frequency(df: DataFrame, tokens: str = "tokens") -> DataFrame:
             .groupBy("term").agg(F.count("*").alias("df")))
 
 
-def tfidf(df: DataFrame, tokens: str = "tokens", row_id: str = "id",
-          salts: int | None = None) -> DataFrame:
-    """(id, term, tf, weight) with weight = tf * ln((N + 1) / (df + 1))."""
+def tfidf(df: DataFrame, tokens: str = "tokens", row_id: str = "id") -> DataFrame:
+    """(id, term, tf, weight) with weight = tf * ln((N + 1) / (df + 1)).
+
+    A plain join by term: Spark broadcasts the frequencies if it measures them
+    as small, and else splits the terms that occur everywhere.
+    """
     n = df.agg(F.count("*")).scalar()
     idf = (document_frequency(df, tokens)
            .select("term", F.log((n + 1) / (F.col("df") + 1)).alias("_idf")))
     tf = term_frequency(df, tokens, row_id)
-    return (salted_join(tf, idf, "term", F.col(row_id), "inner", salts)
+    return (tf.join(idf, "term")
             .select(row_id, "term", "tf", (F.col("tf") * F.col("_idf")).alias("weight")))
 
 
@@ -67,12 +85,10 @@ def mean_pool(df: DataFrame, row_id: str = "id", vector: str = "vector",
 
 
 def pooled_word_vectors(df: DataFrame, word_vectors: DataFrame, tokens: str = "tokens",
-                        row_id: str = "id", unknown: str = "skip", salts: int | None = None,
-                        dim: int | None = None) -> DataFrame:
+                        row_id: str = "id", unknown: str = "skip", dim: int | None = None) -> DataFrame:
     """Mean of the word vectors of each row's tokens: (id, features).
 
-    Tokens are counted per row before the join, and the join is salted because
-    frequent words would otherwise meet in one task.  ``unknown="skip"`` leaves
+    Tokens are counted per row before the join by term.  ``unknown="skip"`` leaves
     out words without a vector (rows without any known word vanish);
     ``unknown="zero"`` counts them as zero vectors and needs ``dim``.
     """
@@ -83,7 +99,7 @@ def pooled_word_vectors(df: DataFrame, word_vectors: DataFrame, tokens: str = "t
     table = word_vectors.select(F.col("word").alias("term"), F.col("vector").alias("_v"))
     tf = term_frequency(df, tokens, row_id)
     how = "inner" if unknown == "skip" else "left"
-    joined = salted_join(tf, table, "term", F.col(row_id), how, salts)
+    joined = tf.join(table, "term", how)
     if unknown == "zero":
         zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
         joined = joined.withColumn("_v", F.coalesce("_v", zero))

@@ -11,7 +11,7 @@ from labelloom.operators import classify
 from labelloom.operators.feature_sets import feature_set
 from labelloom.plans.inputs import labelled, texts
 from labelloom.plans.prepare import fit_once
-from labelloom.session import compact, materialize
+from labelloom.session import materialize
 
 
 def _corpus(spark: SparkSession, root: str) -> DataFrame:
@@ -32,8 +32,8 @@ def tfidf_pca_50(spark: SparkSession, root: str) -> DataFrame:
 def pca_2000_to_100(spark: SparkSession, root: str) -> DataFrame:
     """PCA from 2,000 hashed terms to 100 components over all documents."""
     tokens = texts(spark, root).select("id", clean_tokens("comment").alias("tokens"))
-    tf = compact(materialize(HashingTF(numFeatures=2000, inputCol="tokens", outputCol="tf")
-                             .transform(tokens).select("id", "tf"), "tf"), 1_000)
+    tf = materialize(HashingTF(numFeatures=2000, inputCol="tokens", outputCol="tf")
+                     .transform(tokens).select("id", "tf"), "tf")
     model = PCA(k=100, inputCol="tf", outputCol="pca").fit(tf)
     return model.transform(tf).select("id", vector_to_array("pca").alias("pca"))
 
@@ -52,7 +52,7 @@ def _train_table(spark: SparkSession, root: str) -> DataFrame:
     """The 50-wide features, made once per session: the tuning runs time tuning."""
     key = (spark.sparkContext.applicationId, root)
     if key not in _feature_tables:
-        _feature_tables[key] = compact(materialize(_tfidf50(spark, root), "tfidf50"))
+        _feature_tables[key] = materialize(_tfidf50(spark, root), "tfidf50")
     return _feature_tables[key]
 
 

@@ -11,7 +11,7 @@ from labelloom.operators.curate import conflict_filter
 from labelloom.operators.feature_sets import feature_set
 from labelloom.operators.relational import drop_nulls, nonempty_tokens
 from labelloom.operators.sampling import balance_classes, train_test_split
-from labelloom.session import compact, materialize
+from labelloom.session import materialize
 
 
 def token_corpus(comments: DataFrame, balance: bool = False) -> DataFrame:
@@ -46,7 +46,7 @@ def fit_once(pipeline: Pipeline, df: DataFrame, keep: tuple[str, ...] = ("id",))
     if not lead or not rest:
         return pipeline.fit(df)
     ready = PipelineModel(lead).transform(df).select(*keep, lead[-1].getOutputCol())
-    fitted = Pipeline(stages=rest).fit(compact(materialize(ready, "stage-input")))
+    fitted = Pipeline(stages=rest).fit(materialize(ready, "stage-input"))
     return PipelineModel([*lead, *fitted.stages])
 
 

@@ -7,7 +7,6 @@ memory and executor counts to the caller.
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -39,15 +38,17 @@ def build_session(app_name: str = "labelloom", master: str | None = None,
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster the
-    executors would each see a different disk.
+    Only a local master may use a local disk, by itself a temporary folder: on
+    a cluster the executors would each see a different one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         app = spark.sparkContext.applicationId
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = _local_scratch.setdefault(app, tempfile.mkdtemp(prefix="labelloom-"))
+        if app not in _local_scratch:
+            _local_scratch[app] = tempfile.mkdtemp(prefix="labelloom-")
+        base = _local_scratch[app]
     return f"{base.rstrip('/')}/labelloom/{name}-{uuid.uuid4().hex}"
 
 
@@ -62,22 +63,13 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame, by: str) -> DataFrame:
-    """Spread a scan that has fewer splits than the cluster has cores.
+def spread(scan: DataFrame, by: str, partitions: int | None = None) -> DataFrame:
+    """Deal rows by the hash of their id before costly text work.
 
     Multi-line CSV, gzip files and Parquet files of one row group are read by
-    one task each, and costly text work would stay in it.  Large tables have
-    more splits than cores and are passed on as they are.  Hashing by the row
-    id gives the same rows per task on a retry, and later groupings by that id
-    need no further shuffle.
+    one task each, and the work would stay in it.  The number of partitions is
+    the caller's or Spark's setting for shuffles, whatever the table's size.
+    The same rows meet on a retry, and groupings by that id need no more
+    shuffle.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, by)
-
-
-def compact(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
-    """Shrink the partition count of a small frame before iterative training.
-
-    ``coalesce`` never adds partitions, so a large frame is left as it is.
-    """
-    return df.coalesce(max(1, math.ceil(df.count() / rows_per_task)))
+    return scan.repartition(by) if partitions is None else scan.repartition(partitions, by)
