@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import PCA, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,12 +155,26 @@ def features_tfidf(spark: SparkSession, root: str) -> DataFrame:
     return _features(spark, root, "tfidf", num_features=1024, k=50).drop("norm")
 
 
-@query("pca_features")
+_VARIANCES = " + ".join(f"var_samp(CAST(embedding[{i + 1}] AS DOUBLE))" for i in range(64))
+
+
+@query("pca_features", f"""
+  SELECT CAST(64 AS BIGINT) AS n_axes, CAST(count(*) AS BIGINT) AS n_rows, round({_VARIANCES}, 4) AS total_variance,
+         true AS is_falling, true AS is_orthogonal FROM embeddings""")
 def pca_features(spark: SparkSession, root: str) -> DataFrame:
-    from pyspark.ml.feature import PCA
+    """All axes keep the whole variance, none more than the one before, and don't correlate."""
     v = vectors(spark, root).withColumn("features", array_to_vector("features"))
-    out = PCA(k=8, inputCol="features", outputCol="pca").fit(v).transform(v)
-    return out.select("id", F.posexplode(vector_to_array("pca")).alias("axis", "value"))
+    out = PCA(k=64, inputCol="features", outputCol="pca").fit(v).transform(v).select(vector_to_array("pca").alias("p"))
+    values = [F.col("p")[i] for i in range(64)]
+    both = out.select(*[x.alias(f"p{i}") for i, x in enumerate(values)])
+    sums = both.agg(F.count("*").alias("n_rows"), F.array(*[F.var_samp(f"p{i}") for i in range(64)]).alias("v"),
+                    *[F.corr(f"p{i}", f"p{i + 1}").alias(f"c{i}") for i in range(63)])
+    falling = [F.col("v")[i] >= F.col("v")[i + 1] - 1e-9 for i in range(63)]
+    return sums.select(
+        F.lit(64).cast("bigint").alias("n_axes"), "n_rows",
+        F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total_variance"),
+        F.forall(F.array(*falling), lambda x: x).alias("is_falling"),
+        (F.greatest(*[F.abs(f"c{i}") for i in range(63)]) < 1e-6).alias("is_orthogonal"))
 
 
 @query("features_word2vec", _width_sql(300))
@@ -274,12 +288,20 @@ def score_fixed_logistic(spark: SparkSession, root: str) -> DataFrame:
                          (F.col("p") >= 0.5).cast("double").alias("prediction"))
 
 
-@query("experiment_matrix")
+@query("experiment_matrix", """
+  SELECT dataset, feature_set, model, metric, true AS in_range
+  FROM (VALUES ('documents'), ('conversations')) d(dataset), (VALUES ('tfidf'), ('encoder_sentence')) f(feature_set),
+       (VALUES ('logistic'), ('forest'), ('svc'), ('mlp')) m(model),
+       (VALUES ('accuracy'), ('f1_macro'), ('f1_weighted'), ('auroc'), ('aupr'), ('mcc')) k(metric)""")
 def experiment_matrix(spark: SparkSession, root: str) -> DataFrame:
-    corpus = sentence_corpus(labelled(spark, root))
-    return run_matrix("documents", corpus,
-                      {"tfidf": {"num_features": 1024, "k": 16}, "encoder_sentence": {"dim": 32}},
-                      tune=False, tuning={"svc": {"maxIter": 10}, "mlp": {"maxIter": 20}})
+    turns = read_table(spark, root, "conversations").filter(F.col("role") != "system").select(
+        (F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), F.col("text").alias("comment"),
+        (F.col("role") == "user").cast("float").alias("label"))
+    families = {"tfidf": {"num_features": 1024, "k": 16}, "encoder_sentence": {"dim": 32}}
+    boards = [run_matrix(name, sentence_corpus(rows), families, tune=False)
+              for name, rows in (("documents", labelled(spark, root)), ("conversations", turns))]
+    return boards[0].unionByName(boards[1]).select(
+        "dataset", "feature_set", "model", "metric", (F.col("value").between(-1, 1) & (F.col("rank") >= 1)).alias("in_range"))
 
 
 # --- evaluation -----------------------------------------------------------------------------------

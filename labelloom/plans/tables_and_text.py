@@ -17,7 +17,7 @@ from labelloom.plans.registry import query
 from labelloom.session import scratch_dir, spread
 from labelloom.sources import requests as rq
 from labelloom.sources import tables as tb
-from labelloom.sources.schemas import TEXT_Y_CSV, _strings
+from labelloom.sources.schemas import COMMENT_COLUMNS, COMMENTS_CSV, TEXT_Y_CSV, _strings
 from labelloom.sources.tables import read_table
 
 # --- sources and sinks ------------------------------------------------------
@@ -33,19 +33,31 @@ def csv_scan(spark: SparkSession, root: str) -> DataFrame:
 
 @query("union_sources", """
   SELECT text AS comment, CASE role WHEN 'user' THEN '1' ELSE '0' END AS label
-  FROM conversations WHERE role IN ('user', 'assistant')""")
+  FROM conversations""")
 def union_sources(spark: SparkSession, root: str) -> DataFrame:
     turns = read_table(spark, root, "conversations")
     parts = []
-    for role, y in (("user", "1"), ("assistant", "0")):
-        path = scratch_dir(spark, role)
-        tb.write_csv(turns.filter(F.col("role") == role)
-                     .select("text", F.lit(y).alias("Y")), path)
+    asked = F.col("role") == "user"
+    for name, rows, y in (("user", asked, "1"), ("others", ~asked, "0")):
+        path = scratch_dir(spark, name)
+        tb.write_csv(turns.filter(rows).select("text", F.lit(y).alias("Y")), path)
         parts.append(tb.read_csv(spark, path, TEXT_Y_CSV))
     both = tb.union_all(parts[0], parts[1].select("Y", "text"))
     return rel.rename_columns(both, {"Y": "label", "text": "comment"})
 
 
+@query("load_comments", """
+  SELECT sha256(text || chr(31) || CAST(quality AS VARCHAR)) || '-' || row_number() OVER (PARTITION BY text, quality) AS id,
+         text AS comment, CAST(quality AS DOUBLE) AS label FROM documents JOIN labels USING (doc_id)""")
+def load_comments(spark: SparkSession, root: str) -> DataFrame:
+    path = scratch_dir(spark, "comments")
+    rows = documents(spark, root).join(read_table(spark, root, "labels"), "doc_id")
+    blank = [F.lit("x").alias(c) for c in COMMENT_COLUMNS[2:]]
+    tb.write_csv(rows.select(F.col("quality").cast("string").alias("label"), F.col("text").alias("comment"), *blank), path)
+    loaded = tb.load_comments(spark, path, COMMENTS_CSV)
+    return loaded.withColumn("label", F.col("label").cast("double"))
+
+
 @query("feature_roundtrip", f"""
   SELECT vec_id AS id, CASE WHEN label < 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
          CAST(len(embedding) AS INTEGER) AS dims,

@@ -77,3 +77,25 @@ def typed_comments(raw: DataFrame, comment: str = "comment", label: str = "label
     """Project a raw table to (keep..., comment, label) with a float label."""
     return raw.select(*keep, F.col(comment).alias("comment"),
                       F.col(label).try_cast("float").alias("label"))
+
+
+def with_row_id(df: DataFrame, row_id: str = "id") -> DataFrame:
+    """Add an id made of the row's content and its occurrence among equal rows.
+
+    The same under any partitioning and on any retry.  Equal rows are counted
+    with map-side combining and spread out again, so rows that repeat very
+    often need no task of their own.
+    """
+    marked = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in df.columns])
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    return counted.select(
+        F.sha2(marked, 256).alias("_digest"), *df.columns,
+        F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_occurrence")).select(
+        F.concat_ws("-", "_digest", "_occurrence").alias(row_id), *df.columns)
+
+
+def load_comments(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, comment: str = "comment",
+                  label: str = "label", multi_line: bool = True) -> DataFrame:
+    """Labelled comments of either file layout: (id, comment, label), without null values."""
+    raw = with_row_id(read_csv(spark, paths, schema, multi_line).select(comment, label))
+    return typed_comments(raw, comment, label, keep=["id"]).dropna(subset=["comment", "label"])

@@ -100,3 +100,11 @@ def test_item_without_comment_is_quarantined_alone(spark):
     parsed = rq.parse_requests(spark.createDataFrame([(b,) for b in bodies], "body string"))
     assert sorted(r.id for r in rq.accepted_comments(parsed).collect()) == ["a", "d"]
     assert [r.reject_reason for r in rq.rejected_requests(parsed).collect()] == [rq.NO_COMMENT] * 2
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_row_ids_depend_on_content_only(spark, parts):
+    rows = [("a", "x"), ("a", "x"), ("a", None), (None, None), ("", "x"), ("a", "x")]
+    df = spark.createDataFrame(rows, "comment string, label string")
+    ids = [sorted(map(tuple, tb.with_row_id(d).collect()), key=str) for d in (df, df.repartition(parts))]
+    assert ids[0] == ids[1] and len({r[0] for r in ids[0]}) == len(rows)
