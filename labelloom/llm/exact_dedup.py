@@ -10,8 +10,6 @@ whatever the input's size, and digests are evenly spread, so no task grows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
