@@ -37,15 +37,16 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     a, b = links.columns
     edges = materialize(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
                         .where("a is not null and b is not null and a <> b").distinct(), name)
-    before = None
     while True:
+        # Done when only stars are left: no node hangs on two, none on one that hangs itself.
+        ends = edges.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("out"), F.lit(0).alias("in"))
+        ends = ends.union(edges.select(F.col("b").alias("node"), F.lit(0), F.lit(1)).distinct())
+        hanging = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in"))
+        if hanging.where("out > 1 or (out > 0 and in > 0)").isEmpty():
+            break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = materialize(_hook(both, name, larger_only=True), name)
         edges = materialize(_hook(large, name, larger_only=False), name)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
@@ -55,33 +56,38 @@ def linked(index: DataFrame, nodes: DataFrame, may_link: Callable[[str, str], Co
            name: str) -> DataFrame:
     """``components`` of all verified links between nodes that share a signature.
 
-    ``index`` has (signature, sid).  The pairs of a large group are not all
-    looked at.  First every node meets, of the least nodes of its signatures,
-    the plausible one that it shares most with.  Then, for every signature
-    whose nodes are still in different components, the nodes outside its least
-    component meet all others of another component.  Pairs within a component
-    need no link, so none is missed.
+    ``index`` has (signature, sid), without repeats.  Signatures with the same
+    nodes say the same, so one of each is taken.  The pairs of a large group
+    are not all looked at.  First every node meets, of the least nodes of its
+    signatures, the plausible one that it shares most with.  Then, for every
+    signature whose nodes are still in different components, the nodes outside
+    its least component meet all others of another component.  Pairs within a
+    component need no link, so none is missed.
 
     ``nodes`` has (sid, traits), and ``may_link`` makes a cheap condition from
     the traits of two nodes; it is part of the join, so pairs that it excludes
     are never emitted.  ``plausible`` then drops pairs (a, b) that can't link
     and keeps other columns, ``verified`` drops those that don't.
     """
-    index = materialize(index, f"{name}-index")
-    heads = materialize(index.groupBy("signature").agg(F.min("sid").alias("head")), f"{name}-heads")
-    first = (index.join(heads, "signature").where("sid <> head")
+    members = index.groupBy("signature").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"),
+        F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"), F.min("sid").alias("head")).where("n > 1")
+    heads = materialize(members.groupBy("n", "x", "y").agg(
+        F.min("signature").alias("signature"), F.min("head").alias("head")).select("signature", "head"), f"{name}-heads")
+    index = materialize(index.join(heads, "signature").select("signature", "sid", "head"), f"{name}-index")
+    first = (index.where("sid <> head")
              .groupBy(F.col("sid").alias("a"), F.col("head").alias("b")).count())
     best = (plausible(first).groupBy("a").agg(F.max(F.struct("count", "b")).alias("best"))
             .select("a", F.col("best.b").alias("b")))
     links = materialize(verified(best), f"{name}-links")
-    label = materialize(components(links, f"{name}-star"), f"{name}-labels")
+    label = components(links, f"{name}-star")
 
-    marked = materialize(index.join(nodes, "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "signature", "sid", "traits", F.coalesce("component", "sid").alias("component")), f"{name}-marked")
+    marked = materialize(index.join(label.withColumnRenamed("node", "sid"), "sid", "left").select(
+        "signature", "sid", F.coalesce("component", "sid").alias("component")), f"{name}-marked")
     main = materialize(marked.groupBy("signature").agg(F.min("component").alias("main"),
                                                        F.max("component").alias("last"))
                        .where("main <> last").select("signature", "main"), f"{name}-mixed")
-    mixed = materialize(marked.join(main, "signature"), f"{name}-open")
+    mixed = materialize(marked.join(main, "signature").join(nodes, "sid"), f"{name}-open")
     strays = mixed.where("component <> main").select(
         "signature", F.col("sid").alias("a"), F.col("component").alias("component_a"), F.col("traits").alias("traits_a"))
     rest = strays.join(mixed, "signature").where(

@@ -31,15 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import materialize, text_of, unused
-from labelloom.llm.components import components
+from labelloom.llm.components import linked
 from labelloom.llm.words import mix, pieces, shingle_sets
 
-FREQUENT = 96                 # entries in a cell of the sketch, of which 16 are to be expected by chance
+FREQUENT = 40                 # entries in a cell of the sketch, of which 4 are to be expected by chance
 MAX_FREQUENT_CELLS = 2 << 20  # broadcast: 16 MB
-BUCKET_TOKENS = 1 << 20       # tokens in a group that one task takes at once
+BUCKET_TOKENS = 1 << 18       # tokens in a group that one task takes at once
 CELL_BITS = 16                # cells of a sketch bucket
-CHUNK_TOKENS = 2 << 20        # tokens gathered in a task before they are sent
+CHUNK_TOKENS = 1 << 20        # tokens gathered in a task before they are sent
 GROUP = 3                     # frequent tokens expected in a group
+SKETCH = 16                   # 64-bit words of a set's sketch
 BROADCAST_ROWS = 1 << 20      # document keys broadcast at most: about 30 MB
 
 
@@ -50,27 +51,32 @@ def set_id(tokens: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def parities(tokens: np.ndarray) -> np.ndarray:
-    """For each of 2n to 4n cells whether an odd number of tokens fall into it.
+def parities(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """For each of ``bits`` cells whether an odd number of tokens fall into it.
 
     At most as many cells of two sets differ as tokens do.
     """
-    bits = max(64, 1 << (2 * len(tokens)).bit_length())
     counts = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 def _describe(size: int):
-    """(id, text_id, text) -> (id, text_id, n, sid, parity)."""
+    """(id, text_id, text) -> (id, text_id, n, sid, sketch, parity).
+
+    The sketch has the same number of cells for all sets, the parity 2 to 4 for
+    each token.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch.column(2)):
-                sets = [(len(s), set_id(s), parities(s)) for s in shingle_sets(piece, size)]
+                sets = [(len(s), set_id(s), parities(s, 64 * SKETCH),
+                         parities(s, max(64, 1 << (2 * len(s)).bit_length()))) for s in shingle_sets(piece, size)]
                 rows = slice(piece.first, piece.first + piece.rows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[rows], batch.column(1)[rows], pa.array([s[0] for s in sets], pa.int64()),
-                     pa.array([s[1] for s in sets], pa.int64()), pa.array([s[2] for s in sets], pa.list_(pa.int64()))],
-                    ["id", "text_id", "n", "sid", "parity"])
+                     pa.array([s[1] for s in sets], pa.int64()), pa.array([s[2] for s in sets], pa.list_(pa.int64())),
+                     pa.array([s[3] for s in sets], pa.list_(pa.int64()))],
+                    ["id", "text_id", "n", "sid", "sketch", "parity"])
     return run
 
 
@@ -245,13 +251,13 @@ def _frequent_broadcast(spark, cells: DataFrame):
 
 
 def shingle_index(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """``sets`` (id, text_id, n, sid, parity) of all rows and ``index`` (signature, sid).
+    """``sets`` (id, text_id, n, sid, sketch, parity) of all rows and ``index`` (signature, sid).
 
-    The index holds the signatures that at least two different sets have.
+    Of single tokens the index holds those that at least two different sets have.
     """
     spark = docs.sparkSession
     sets = materialize(docs.mapInArrow(
-        _describe(size), "id long, text_id long, n long, sid long, parity array<long>"), "jaccard-sets")
+        _describe(size), "id long, text_id long, n long, sid long, sketch array<long>, parity array<long>"), "jaccard-sets")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(0, math.ceil(math.log2(max(1, total) / BUCKET_TOKENS)))
     texts = docs.select("text")
@@ -264,8 +270,7 @@ def shingle_index(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataF
         _shared, "signature long, sid long"), "jaccard-single")
     pairs = materialize(raw.where("pairs is not null").select(F.explode("pairs").alias("signature"), "sid").distinct(),
                         "jaccard-pairs")
-    several = pairs.groupBy("signature").count().where("count > 1").select("signature")
-    return sets, single.union(pairs.join(several, "signature", "left_semi"))
+    return sets, single.union(pairs)
 
 
 def _folded(parity: Column, words: Column) -> Column:
@@ -274,6 +279,14 @@ def _folded(parity: Column, words: Column) -> Column:
     return F.when(F.size(parity) > words, halves).otherwise(parity)
 
 
+def _sketches_allow(one: str, other: str, num: int, den: int) -> Column:
+    """Whether the sizes and sketches of two sets allow them to be similar."""
+    n, m = F.col(f"{one}.n"), F.col(f"{other}.n")
+    differ = sum((F.bit_count(F.col(f"{one}.sketch")[i].bitwiseXOR(F.col(f"{other}.sketch")[i]))
+                  for i in range(SKETCH)), F.lit(0))
+    return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((den + num) * differ <= (den - num) * (n + m))
+
+
 def _plausible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that sizes and parities allow to be similar.
 
@@ -320,9 +333,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents link if the Jaccard similarity of their word shingles is at
     least num / den.  Equal sets are one node, so copies are never paired.
-    First every set meets only the one set that it shares most signatures with
-    among the least of each signature; of the remaining pairs only those whose
-    sides are still in different components are verified, and all of them are.
+    Pairs are found and verified as ``components.linked`` tells.
 
     ``component_id`` is the smallest id reachable.  Null or empty texts and
     texts without words have no shingles, link with nothing and are their own
@@ -333,35 +344,13 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("text_id"),
                        text_of(text_col).alias("text"))
     sets, index = shingle_index(rows, size, num, den)
-    index = materialize(index, "jaccard-index")
     nodes = materialize(sets.where("sid is not null").groupBy("sid").agg(
         F.min("n").alias("n"), F.min("id").alias("least_id"), F.min(F.struct("id", "text_id")).alias("row"),
-        F.any_value("parity").alias("parity")), "jaccard-nodes")
-
-    # The least set of a signature stands for it.
-    heads = materialize(index.groupBy("signature").agg(F.min("sid").alias("head")), "jaccard-heads")
-    first = (index.join(heads, "signature").where("sid <> head")
-             .groupBy(F.col("sid").alias("a"), F.col("head").alias("b")).count())
-    best = (_plausible(first, nodes, num, den).groupBy("a").agg(F.max(F.struct("count", "b")).alias("best"))
-            .select("a", F.col("best.b").alias("b")))
-    links = materialize(_verified(best, rows, nodes, size, num, den), "jaccard-links")
-    label = materialize(components(links, "jaccard-star"), "jaccard-labels")
-
-    marked = materialize(index.join(label.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "signature", "sid", F.coalesce("component", "sid").alias("component")), "jaccard-marked")
-    main = materialize(marked.groupBy("signature").agg(F.min("component").alias("main"),
-                                                       F.max("component").alias("last"))
-                       .where("main <> last").select("signature", "main"), "jaccard-mixed")
-    mixed = materialize(marked.join(main, "signature"), "jaccard-open")
-    strays = mixed.where("component <> main").select(
-        "signature", F.col("sid").alias("a"), F.col("component").alias("component_a"))
-    rest = strays.join(mixed, "signature").where(
-        (F.col("component_a") != F.col("component"))
-        & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("sid")))).select("a", F.col("sid").alias("b"))
-    rest = _plausible(rest.distinct(), nodes, num, den)
-    more = materialize(_verified(rest, rows, nodes, size, num, den), "jaccard-more")
-    final = components(links.union(more), "jaccard-components")
-
+        F.any_value("sketch").alias("sketch"), F.any_value("parity").alias("parity")), "jaccard-nodes")
+    final = linked(index, nodes.select("sid", F.struct("n", "sketch").alias("traits")),
+                   lambda one, other: _sketches_allow(one, other, num, den),
+                   lambda pairs: _plausible(pairs, nodes, num, den),
+                   lambda pairs: _verified(pairs, rows, nodes, size, num, den), "jaccard")
     reach = nodes.select("sid", "least_id").join(final.withColumnRenamed("node", "sid"), "sid", "left").select(
         "sid", "least_id", F.coalesce("component", "sid").alias("component"))
     reach = materialize(reach, "jaccard-reach")
