@@ -51,6 +51,17 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _mixed(index: DataFrame, nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """(signature, sid, component, main, traits) of the signatures in several components."""
+    label = components(links, f"{name}-star")
+    marked = materialize(index.join(label.withColumnRenamed("node", "sid"), "sid", "left").select(
+        "signature", "sid", F.coalesce("component", "sid").alias("component")), f"{name}-marked")
+    main = materialize(marked.groupBy("signature").agg(F.min("component").alias("main"),
+                                                       F.max("component").alias("last"))
+                       .where("main <> last").select("signature", "main"), f"{name}-mixed")
+    return materialize(marked.join(main, "signature").join(nodes, "sid"), f"{name}-open")
+
+
 def linked(index: DataFrame, nodes: DataFrame, may_link: Callable[[str, str], Column],
            plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame],
            name: str) -> DataFrame:
@@ -59,7 +70,8 @@ def linked(index: DataFrame, nodes: DataFrame, may_link: Callable[[str, str], Co
     ``index`` has (signature, sid), without repeats.  Signatures with the same
     nodes say the same, so one of each is taken.  The pairs of a large group
     are not all looked at.  First every node meets, of the least nodes of its
-    signatures, the plausible one that it shares most with.  Then, for every
+    signatures, the plausible one that it shares most with, and then, if it is
+    in another component, one of a second choice of nodes.  Then, for every
     signature whose nodes are still in different components, the nodes outside
     its least component meet all others of another component.  Pairs within a
     component need no link, so none is missed.
@@ -80,14 +92,19 @@ def linked(index: DataFrame, nodes: DataFrame, may_link: Callable[[str, str], Co
     best = (plausible(first).groupBy("a").agg(F.max(F.struct("count", "b")).alias("best"))
             .select("a", F.col("best.b").alias("b")))
     links = materialize(verified(best), f"{name}-links")
-    label = components(links, f"{name}-star")
+    mixed = _mixed(index, nodes, links, name)
+
+    # Once more with other nodes, now only those that may link: a large group seldom keeps together by one.
+    pivots = materialize(mixed.groupBy("signature").agg(F.min_by(
+        F.struct("sid", "component", "traits"), F.xxhash64("sid", F.lit(1))).alias("pivot")), f"{name}-pivots")
+    second = mixed.join(pivots, "signature").where(
+        (F.col("component") != F.col("pivot.component")) & may_link("traits", "pivot.traits"))
+    second = second.groupBy(F.col("sid").alias("a"), F.col("pivot.sid").alias("b")).count()
+    best = (plausible(second).groupBy("a").agg(F.max(F.struct("count", "b")).alias("best"))
+            .select("a", F.col("best.b").alias("b")))
+    links = materialize(links.union(verified(best)), f"{name}-links")
+    mixed = _mixed(index, nodes, links, name)
 
-    marked = materialize(index.join(label.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "signature", "sid", F.coalesce("component", "sid").alias("component")), f"{name}-marked")
-    main = materialize(marked.groupBy("signature").agg(F.min("component").alias("main"),
-                                                       F.max("component").alias("last"))
-                       .where("main <> last").select("signature", "main"), f"{name}-mixed")
-    mixed = materialize(marked.join(main, "signature").join(nodes, "sid"), f"{name}-open")
     strays = mixed.where("component <> main").select(
         "signature", F.col("sid").alias("a"), F.col("component").alias("component_a"), F.col("traits").alias("traits_a"))
     rest = strays.join(mixed, "signature").where(
