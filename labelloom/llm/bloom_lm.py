@@ -4,7 +4,10 @@ A count c is kept as its level 1 + floor(log2 c): the filter holds the n-gram
 once for each level from 1 up, and a reader probes level after level until one
 is missing.  The filter is cut into segments by the leading bits of the
 n-gram's hash; a segment is built by one task and sized by what it holds.
-Readers get all segments by broadcast, within ``FILTER_BYTES``.
+All n-grams are held, whatever the corpus.  Up to ``FILTER_BYTES`` readers get
+all segments by broadcast; past that the texts' distinct n-grams go to the
+filter, a block of segments at a time, and their levels come back.  The bits
+are the same, so the scores are.
 
 The base score needs exact counts of words.  The ``HEAD`` most frequent words
 are broadcast, and the others' counts are joined by their hashes, so what goes
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -26,9 +29,10 @@ from pyspark.sql import functions as F
 from labelloom.llm.common import materialize, text_of
 from labelloom.llm.words import Piece, mix, pieces
 
-FILTER_BYTES = 128 << 20   # of the broadcast filter
-CUTOFF = 2                 # least count of a bigram in the filter; words have none
+FILTER_BYTES = 128 << 20   # of a filter that is broadcast
+CUTOFF = 1                 # least count of a bigram in the filter: all are held, at every size
 SEGMENT = 1 << 17          # bigrams of a segment, if all were different
+BLOCK_BITS = 5             # segments that are probed together, if not broadcast: 1 << BLOCK_BITS
 PROBES, BITS = 6, 10       # probes of an entry; bits for each entry: 1 % false positives
 HEAD = 1 << 17             # words whose exact counts are broadcast: 2 MB
 CHUNK = 1 << 20            # tokens counted in a task before they are sent
@@ -90,18 +94,17 @@ def _count(bits: int):
 
 
 def _sum_segment(rows: pd.DataFrame) -> pd.DataFrame:
-    """Whole counts of a segment's n-grams, and how many bigrams each level has."""
+    """The bits of a segment, from whole counts; of words the counts, too."""
     hashes = np.concatenate([np.frombuffer(h, dtype=np.uint64) for h in rows["hashes"]])
     counts = np.concatenate([np.frombuffer(c, dtype=np.uint32) for c in rows["counts"]]).astype(np.int64)
     different, where = np.unique(hashes, return_inverse=True)
     totals = np.zeros(len(different), dtype=np.int64)
     np.add.at(totals, where, counts)
-    kind = int(rows["kind"].iloc[0])
-    if kind == 2:
-        different, totals = different[totals >= CUTOFF], totals[totals >= CUTOFF]
-    return pd.DataFrame({"kind": [kind], "segment": [int(rows["segment"].iloc[0])], "hashes": [different.tobytes()],
-                         "counts": [totals.tobytes()],
-                         "levels": [np.bincount(level_of(totals), minlength=64)[:64].tolist()]})
+    whole = pd.DataFrame({"kind": rows["kind"].iloc[:1], "segment": rows["segment"].iloc[:1],
+                          "hashes": [different.tobytes()], "counts": [totals.tobytes()]})
+    bits = next(_fill(CUTOFF)(iter([whole])))["bits"].to_numpy()
+    # Bigrams are read from the filter only.
+    return (whole if rows["kind"].iloc[0] == 1 else whole.assign(hashes=[b""], counts=[b""])).assign(bits=bits)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -174,11 +177,22 @@ class LogFrequencyFilter:
         return levels[back]
 
 
+@dataclass
+class Answers:
+    """Levels that the filter has told: for each kind the sorted hashes and their levels."""
+
+    hashes: list[np.ndarray]
+    told: list[np.ndarray]
+
+    def levels(self, kind: int, hashes: np.ndarray) -> np.ndarray:
+        return self.told[kind - 1][np.searchsorted(self.hashes[kind - 1], hashes)]
+
+
 @dataclass
 class Model:
     """What readers get: the filter, exact counts of frequent words, and the sizes of training."""
 
-    filter: LogFrequencyFilter
+    filter: LogFrequencyFilter | Answers | None
     head: np.ndarray
     head_counts: np.ndarray
     tokens: int
@@ -190,19 +204,20 @@ class Model:
         A mixture of the bigram's relative frequency and the word's, with one
         added to each word's count; counts are those of the filter.
         """
-        context, bigram = bigrams_of(tokens, first)
-        word = (count_of(self.filter.levels(1, tokens)) + 1) / (self.tokens + self.vocabulary + 1)
-        seen = count_of(self.filter.levels(1, context))
+        _, bigram = bigrams_of(tokens, first)
+        # The context is the token before, and the start for a text's first.
+        counts = count_of(self.filter.levels(1, np.concatenate(([START], tokens)).astype(np.uint64)))
+        word, seen = (counts[1:] + 1) / (self.tokens + self.vocabulary + 1), counts[:-1].copy()
+        seen[first[:-1]] = counts[0]
         pair = np.minimum(count_of(self.filter.levels(2, bigram)) / np.maximum(seen, 1), 1.0)
         return np.log10(LAMBDA * pair + (1 - LAMBDA) * np.minimum(word, 1.0))
 
 
-def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> tuple[Model, DataFrame]:
-    """The model, and exact counts of all words as (token, count).
+def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> tuple[Model, DataFrame, DataFrame, int]:
+    """The model, exact counts of all words as (token, count), the filter's segments, and the bits that number them.
 
-    If the filter would pass ``filter_bytes``, the cut-off of bigrams is doubled
-    until it doesn't: rarer bigrams are then scored by their words.  Base scores
-    don't depend on it.
+    The model's filter is None if the segments pass ``filter_bytes``; they are
+    then to be read where they are.
     """
     texts = docs.select(text_of(text_col).alias("text"))
     # Words and ends, estimated by bytes: only the number of segments depends on it.
@@ -211,23 +226,17 @@ def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BY
     counted = materialize(
         texts.mapInArrow(_count(bits), "kind int, segment long, hashes binary, counts binary")
         .groupBy("kind", "segment").applyInPandas(
-            _sum_segment, "kind int, segment long, hashes binary, counts binary, levels array<long>"), "lm-counts")
+            _sum_segment, "kind int, segment long, hashes binary, counts binary, bits binary"), "lm-counts")
     words = materialize(counted.where("kind = 1").select("hashes", "counts").mapInArrow(
         _unpack, "token long, count long"), "lm-words")
     real = words.where(F.col("token") != int(START.astype(np.int64)))
     tokens, vocabulary = real.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
     head = real.orderBy(F.desc("count"), "token").limit(HEAD).toPandas().sort_values("token")
 
-    levels = {(r.kind, r.level): r.n for r in counted.select("kind", F.posexplode("levels").alias("level", "n"))
-              .groupBy("kind", "level").agg(F.sum("n").alias("n")).collect()}  # at most 128 rows
-    cutoff = CUTOFF
-    while sum(n * level * BITS / 8 for (kind, level), n in levels.items()
-              if kind == 1 or 2 ** level > cutoff) > filter_bytes and cutoff < 1 << 62:
-        cutoff *= 2
-    segments = counted.select("kind", "segment", "hashes", "counts").mapInPandas(
-        _fill(cutoff), "kind int, segment long, bits binary").toPandas()
-    return Model(_assemble(bits, segments), head["token"].to_numpy(np.int64), head["count"].to_numpy(np.int64),
-                 int(tokens), int(vocabulary)), real
+    segments = counted.select("kind", "segment", "bits")
+    small = (counted.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= filter_bytes
+    return Model(_assemble(bits, segments.toPandas()) if small else None, head["token"].to_numpy(np.int64),
+                 head["count"].to_numpy(np.int64), int(tokens), int(vocabulary)), real, segments, bits
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,38 +256,123 @@ def _assemble(bits: int, segments: pd.DataFrame) -> LogFrequencyFilter:
     return LogFrequencyFilter(bits, start, size, np.frombuffer(b"".join(segments["bits"]), dtype=np.uint8))
 
 
-def _score(model):
-    """(id, text) -> what broadcast data tell, and the words whose counts are not among them."""
-    names = ["id", "n_tokens", "n_known", "logs", "score", "rare", "times"]
+def _rows(m: Model, ids: pa.Array, piece: Piece, tokens: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    """What the model tells of a piece's rows, and the words whose counts it doesn't have."""
+    logs = np.log10(m.head_counts + 1.0)
+    score = np.add.reduceat(m.log_probability(tokens, first), first[:-1])
+    own = tokens.view(np.int64)
+    at = np.minimum(np.searchsorted(m.head, own), max(len(m.head) - 1, 0))
+    frequent = m.head[at] == own if len(m.head) else np.zeros(len(own), dtype=bool)
+    known = np.add.reduceat(frequent.astype(np.int64), first[:-1])
+    sums = np.add.reduceat(np.where(frequent, logs[at] if len(logs) else 0.0, 0.0), first[:-1])
+    rows = np.repeat(np.arange(piece.rows), np.diff(first))[~frequent]
+    order = np.lexsort((own[~frequent], rows))
+    rows, rest = rows[order], own[~frequent][order]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (rest[1:] != rest[:-1])
+    starts = np.flatnonzero(new)
+    times = np.diff(np.concatenate((starts, [len(rows)])))
+    offsets = pa.array(np.searchsorted(rows[starts], np.arange(piece.rows + 1)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [ids[piece.first:piece.first + piece.rows], pa.array(np.diff(first).astype(np.int64)),
+         pa.array(known), pa.array(sums), pa.array(score),
+         pa.ListArray.from_arrays(offsets, pa.array(rest[starts])),
+         pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))],
+        ["id", "n_tokens", "n_known", "logs", "score", "rare", "times"])
+
 
+def _score(model):
+    """(id, text) -> ``_rows`` by a model that has the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        logs = np.log10(m.head_counts + 1.0)
         for batch in batches:
             for piece in pieces(batch.column(1)):
-                tokens, first = tokens_of(piece)
-                score = np.add.reduceat(m.log_probability(tokens, first), first[:-1])
-                own = tokens.view(np.int64)
-                at = np.minimum(np.searchsorted(m.head, own), max(len(m.head) - 1, 0))
-                frequent = m.head[at] == own if len(m.head) else np.zeros(len(own), dtype=bool)
-                known = np.add.reduceat(frequent.astype(np.int64), first[:-1])
-                sums = np.add.reduceat(np.where(frequent, logs[at] if len(logs) else 0.0, 0.0), first[:-1])
-                rows = np.repeat(np.arange(piece.rows), np.diff(first))[~frequent]
-                order = np.lexsort((own[~frequent], rows))
-                rows, rest = rows[order], own[~frequent][order]
-                new = np.ones(len(rows), dtype=bool)
-                new[1:] = (rows[1:] != rows[:-1]) | (rest[1:] != rest[:-1])
-                starts = np.flatnonzero(new)
-                times = np.diff(np.concatenate((starts, [len(rows)])))
-                offsets = pa.array(np.searchsorted(rows[starts], np.arange(piece.rows + 1)).astype(np.int32))
+                yield _rows(model.value, batch.column(0), piece, *tokens_of(piece))
+    return run
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> rows of about ``CHUNK`` tokens, as lists of ids and texts."""
+    def send(gathered: list[pa.RecordBatch]) -> pa.RecordBatch:
+        columns = [pa.concat_arrays([g.column(i) for g in gathered]) for i in range(2)]
+        ends = pa.array([0, len(columns[0])], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, c) for c in columns], ["ids", "texts"])
+
+    gathered, total = [], 0
+    for batch in batches:
+        for piece in pieces(batch.column(1)):
+            gathered.append(batch.slice(piece.first, piece.rows))
+            total += len(piece.starts) + piece.rows
+            if total >= CHUNK:
+                yield send(gathered)
+                gathered, total = [], 0
+    if total:
+        yield send(gathered)
+
+
+def _asked(texts: pa.Array) -> tuple[list[tuple[Piece, np.ndarray, np.ndarray]], list[np.ndarray]]:
+    """The pieces of a chunk with their tokens, and the chunk's distinct words and bigrams."""
+    own = [(piece, *tokens_of(piece)) for piece in pieces(texts)]
+    return own, [np.unique(np.concatenate([*(t for _, t, _ in own), np.array([START])])),
+                 np.unique(np.concatenate([bigrams_of(t, f)[1] for _, t, f in own]))]
+
+
+def _ask(bits: int):
+    """(chunk, texts) -> the chunk's distinct n-grams by block, as (block, chunk, kind, hashes)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, hashes = batch.column(0)[i].as_py(), _asked(batch.column(1)[i].values)[1]
+                rows = [r for kind in (1, 2) for r in _cut(bits, hashes[kind - 1], hashes[kind - 1][:0], kind)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[piece.first:piece.first + piece.rows], pa.array(np.diff(first).astype(np.int64)),
-                     pa.array(known), pa.array(sums), pa.array(score),
-                     pa.ListArray.from_arrays(offsets, pa.array(rest[starts])),
-                     pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))], names)
+                    [pa.array([r[1] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()),
+                     pa.array([r[0] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
+                    ["block", "chunk", "kind", "hashes"])
     return run
 
 
+def _answer(bits: int):
+    """Questions and segments of a block -> (block, chunk, kind, levels), a byte for each hash."""
+    def run(asked: pa.Table, segments: pa.Table) -> pa.Table:
+        told = _assemble(bits, segments.select(["kind", "segment", "bits"]).to_pandas())
+        kinds, packed = asked.column("kind").to_numpy(), asked.column("hashes").to_pylist()
+        levels: list[bytes] = [b""] * len(packed)
+        for kind in (1, 2):
+            mine = np.flatnonzero(kinds == kind).tolist()
+            if mine:
+                ends = np.cumsum([len(packed[i]) // 8 for i in mine])
+                found = told.levels(kind, np.frombuffer(b"".join(packed[i] for i in mine), np.uint64)).astype(np.uint8)
+                for i, part in zip(mine, np.split(found, ends[:-1])):
+                    levels[i] = part.tobytes()
+        return asked.select(["block", "chunk", "kind"]).append_column("levels", pa.array(levels, pa.binary()))
+    return run
+
+
+def _combine(model):
+    """A chunk and its answers -> ``_rows``."""
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        own, hashes = _asked(chunk.column("texts")[0].values)
+        told = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "block", "levels"))))
+        levels = [np.frombuffer(b"".join(x for k, _, x in told if k == kind), np.uint8).astype(np.int64) for kind in (1, 2)]
+        m = replace(model.value, filter=Answers(hashes, levels))
+        ids = chunk.column("ids")[0].values
+        return pa.Table.from_batches([_rows(m, ids, *piece) for piece in own])
+    return run
+
+
+def _score_by_blocks(rows: DataFrame, model, segments: DataFrame, bits: int, schema: str) -> DataFrame:
+    """``_score`` with a filter that is too large to be broadcast."""
+    kind = rows.schema["id"].dataType.simpleString()
+    # A chunk's number is fixed by being written.
+    chunks = materialize(rows.mapInArrow(_pack, f"ids array<{kind}>, texts array<string>")
+                         .withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
+    few = max(0, bits - BLOCK_BITS)
+    asked = chunks.select("chunk", "texts").mapInArrow(_ask(few), "block long, chunk long, kind int, hashes binary")
+    blocks = segments.withColumn("block", F.shiftright("segment", bits - few))
+    answers = asked.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(
+        _answer(bits), "block long, chunk long, kind int, levels binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_combine(model), schema)
+
+
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
           filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Score every text: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
@@ -291,13 +385,15 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     repeated rows come out as they went in; other columns are ignored.
     """
     held_out = F.coalesce(held_out, F.lit(False))
-    model, words = train(docs.where(~held_out), text_col, filter_bytes)
+    model, words, segments, bits = train(docs.where(~held_out), text_col, filter_bytes)
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), held_out.alias("held_out")).alias("id"),
                        text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)),
-                             f"id {kind}, n_tokens long, n_known long, logs double, score double, "
-                             "rare array<long>, times array<int>")
+    schema = (f"id {kind}, n_tokens long, n_known long, logs double, score double, "
+              "rare array<long>, times array<int>")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = rows.mapInArrow(_score(shared), schema) if model.filter is not None else \
+        _score_by_blocks(rows, shared, segments, bits, schema)
     # The row number is fixed by being written.
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("pair")).select(

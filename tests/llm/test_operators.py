@@ -206,6 +206,20 @@ def test_bloom_filter_lm(spark, corpus, monkeypatch):
     assert {r.n_known for r in bloom_lm.score(frame, F.lit(True)).collect()} == {0}
 
 
+def test_bigram_scores_do_not_depend_on_the_broadcast_bound(spark, corpus, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "SEGMENT", 300)
+    monkeypatch.setattr(bloom_lm, "BLOCK_BITS", 2)  # so that there are several blocks
+    once = [(900, "q r s t"), (901, "q r s t"), (902, "q s r t")]
+    frame = table(spark, corpus + once)
+    held = F.coalesce(F.col("doc_id") > 900, F.lit(False))
+    whole, blocks = (rows_of(bloom_lm.score(frame, held, filter_bytes=b)) for b in (1 << 20, 100))
+    assert len(whole) == len(corpus) + 3 and whole == blocks
+    seen = {r[0]: r[6] for r in whole}
+    assert seen[901] > seen[902] + 1  # the words are the same, the bigrams were seen once
+    assert bloom_lm.score(frame.limit(0), held, filter_bytes=0).count() == 0
+    assert bloom_lm.score(frame, F.lit(True), filter_bytes=0).count() == len(corpus) + 3
+
+
 def test_filter_levels_never_fall_short():
     draw = np.random.default_rng(0)
     hashes, counts = draw.integers(0, 1 << 63, 5000).astype(np.uint64), draw.integers(1, 5000, 5000)
