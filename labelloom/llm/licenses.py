@@ -6,6 +6,10 @@ fitted on variants of the templates below and on at most ``SAMPLE`` paragraphs
 of the corpus; its temperature and the least probability of a family are
 calibrated on a held-out part of them.  A prediction counts only if the
 paragraph holds enough of a template of that family.
+
+A notice may be wrapped over adjacent lines that are not blank.  Such blocks
+are compared with the templates first, and in those that hold enough of one
+the least windows of lines that do are classified, too.
 """
 
 from __future__ import annotations
@@ -107,6 +111,10 @@ class LicenseModel:
         x = np.exp(x - x.max(axis=1, keepdims=True))
         return x / x.sum(axis=1, keepdims=True)
 
+    def part(self, hashes: np.ndarray) -> bool:
+        """Whether a line of three words at least is mostly made of a template's."""
+        return len(hashes) >= 5 and any(np.isin(hashes, t).mean() >= SHARE for k in self.templates for t in k)
+
     def confirmed(self, family: int, hashes: np.ndarray) -> bool:
         return any(np.isin(t, hashes).mean() >= SHARE for t in self.templates[family])
 
@@ -146,7 +154,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, seed: int
     """Fit on the templates' variants and ``sample`` paragraphs of the corpus.
 
     The paragraphs are those with the least hashes (of a longer one, 4,000
-    characters); ones that confirm a template
+    characters); ones that confirm a template or are a wrapped part of one
     are left out.  An empty corpus leaves the fixed other paragraphs.
     """
     lines = docs.select(F.explode_outer(F.split(text_of(text_col), "\n")).alias("line")).where(F.trim("line") != "")
@@ -160,7 +168,8 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, seed: int
     hashes, where = _described(chosen + OTHERS)
     bounds = np.searchsorted(where, np.arange(len(chosen) + len(OTHERS) + 1))
     plain = [t for i, t in enumerate(chosen + OTHERS) if not any(
-        model.confirmed(f, hashes[bounds[i]:bounds[i + 1]]) for f in range(UNKNOWN))]
+        model.confirmed(f, hashes[bounds[i]:bounds[i + 1]]) for f in range(UNKNOWN))
+        and not (i < len(chosen) and model.part(hashes[bounds[i]:bounds[i + 1]]))]
     draw = random.Random(seed)
     filler = " ".join(plain).split() or ["text"]
     rows = [(t, UNKNOWN) for t in plain]
@@ -183,6 +192,88 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, seed: int
     return model
 
 
+def _blocks_with_notice(model: LicenseModel, words: np.ndarray, pairs: np.ndarray, block: np.ndarray) -> dict[int, list]:
+    """Blocks that hold enough of a template: block -> (family, template)."""
+    known = np.unique(np.concatenate([t for k in model.templates for t in k]))
+    inside = block[1:] == block[:-1]
+    hashes, where = np.concatenate((words, pairs[inside])), np.concatenate((block, block[1:][inside]))
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    hit = known[at] == hashes
+    hits = np.unique(where[hit] * len(known) + at[hit])
+    out: dict[int, list] = {}
+    for family, templates in enumerate(model.templates):
+        for template in templates:
+            mine = hits[np.isin(known, template)[hits % len(known)]] // len(known)
+            blocks, held = np.unique(mine, return_counts=True)
+            for b in blocks[held / len(template) >= SHARE].tolist():
+                out.setdefault(b, []).append((family, template))
+    return out
+
+
+def _least_windows(lines: list[np.ndarray], joins: list[np.ndarray], template: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last) of the least runs of lines that hold enough of a template.
+
+    ``lines`` are the template's places that each line holds, ``joins`` those
+    of the bigram between a line and the next.
+    """
+    held, last = np.zeros(len(template), dtype=np.int64), -1
+    for first in range(len(lines)):
+        while (held > 0).mean() < SHARE and last + 1 < len(lines):
+            last += 1
+            held[lines[last]] += 1
+            if last > first:
+                held[joins[last - 1]] += 1
+        if (held > 0).mean() < SHARE:
+            return
+        n = held.copy()
+        n[lines[first]] -= 1
+        if last > first:
+            n[joins[first]] -= 1
+        if (n > 0).mean() < SHARE:
+            yield first, last
+        held = n
+
+
+def _wrapped(model: LicenseModel, words: np.ndarray, pairs: np.ndarray, bounds: np.ndarray, notices: list,
+             sure: set[tuple[int, int]]) -> Iterator[tuple[int, int, float]]:
+    """(line of the block, family, probability) of the notices wrapped over lines of a block.
+
+    ``bounds`` are the numbers of each line's first word and the block's end;
+    ``sure`` are the (line, family) that are confirmed alone.
+    """
+    def hashes_of(first: int, last: int) -> np.ndarray:
+        a, b = bounds[first], bounds[last + 1]
+        return np.concatenate((words[a:b], pairs[a:b - 1]))
+
+    taken = {family: {line for line, f in sure if f == family} for family, _ in notices}
+    for family, template in notices:
+        def places(hashes: np.ndarray) -> np.ndarray:
+            return np.flatnonzero(np.isin(template, hashes))
+        count = len(bounds) - 1
+        lines = [places(hashes_of(i, i)) for i in range(count)]
+        joins = [places(pairs[bounds[i + 1] - 1:bounds[i + 1]]) for i in range(count - 1)]
+        for first, last in _least_windows(lines, joins, template):
+            # The rest of the notice: lines that hold more of it.
+            a, b, held = first, last, len(places(hashes_of(first, last)))
+            while b + 1 < count and len(places(hashes_of(a, b + 1))) > held:
+                b += 1
+                held = len(places(hashes_of(a, b)))
+            while a > 0 and len(places(hashes_of(a - 1, b))) > held:
+                a -= 1
+                held = len(places(hashes_of(a, b)))
+            if first == last or not taken[family].isdisjoint(range(first, last + 1)):
+                continue
+            best = 0.0
+            for x, y in {(first, last), (a, b)}:
+                own = hashes_of(x, y)
+                p = model.probabilities(model.logits(own, np.zeros(len(own), np.int64), 1))[0]
+                if p[:UNKNOWN].argmax() == family and p[family] >= model.least:
+                    best = max(best, float(p[family]))
+            if best:
+                taken[family].update(range(first, last + 1))
+                yield first, family, best
+
+
 def _scan(model: LicenseModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,11 +285,28 @@ def _scan(model: LicenseModel):
                     p = model.probabilities(model.logits(hashes, where, len(row)))
                     best = p[:, :UNKNOWN].argmax(axis=1)
                     bounds = np.searchsorted(where, np.arange(len(row) + 1))
+                    sure: dict[int, set] = {}
                     for i in np.flatnonzero(p[np.arange(len(row)), best] >= model.least).tolist():
                         own = hashes[bounds[i]:bounds[i + 1]]
                         found[row[i]].append({"line_no": int(line[i]), "family": FAMILIES[best[i]],
                                               "probability": float(p[i, best[i]]),
                                               "confirmed": model.confirmed(int(best[i]), own)})
+                        if found[row[i]][-1]["confirmed"]:
+                            sure.setdefault(i, set()).add(int(best[i]))
+                    # Blocks of adjacent lines, and the first line of each.
+                    new = np.ones(len(row), dtype=bool)
+                    new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1] + 1)
+                    block, edges = np.cumsum(new) - 1, np.append(np.flatnonzero(new), len(row))
+                    words = piece.word_hashes()
+                    pairs = mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
+                    starts = np.searchsorted(paragraph, np.arange(len(row) + 1))
+                    for b, notices in _blocks_with_notice(model, words, pairs, block[paragraph]).items():
+                        x, y = int(edges[b]), int(edges[b + 1])
+                        if y - x > 1:
+                            alone = {(i - x, f) for i in range(x, y) for f in sure.get(i, ())}
+                            for i, family, probability in _wrapped(model, words, pairs, starts[x:y + 1], notices, alone):
+                                found[row[x]].append({"line_no": int(line[x + i]), "family": FAMILIES[family],
+                                                      "probability": probability, "confirmed": True})
                 count = np.bincount(row, minlength=piece.rows).astype(np.int64)
                 kind = pa.list_(pa.struct([("line_no", pa.int64()), ("family", pa.string()),
                                            ("probability", pa.float64()), ("confirmed", pa.bool_())]))
@@ -212,7 +320,8 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
     """(doc_id, n_paragraphs, found) for every row.
 
     ``found`` lists the paragraphs that the classifier gives to a family, with
-    line number, probability and whether a template confirms it.  Null and
+    line number, probability and whether a template confirms it, and then the
+    confirmed notices that are wrapped over lines, by their first line.  Null and
     empty texts have no paragraph; null ids and repeated rows are kept as they
     are; other columns are ignored.
     """

@@ -318,6 +318,25 @@ def test_license_scan(spark):
         assert all(f.family == family and f.confirmed for r in found for f in r.found) and all(r.found for r in found)
 
 
+def test_wrapped_licenses(spark):
+    bsd = ("Redistribution and use in source and binary forms, with or without\n"
+           "modification, are permitted provided that the following conditions\nare met:")
+    gpl = ("This program is free software: you can redistribute it and/or modify\n"
+           "it under the terms of the GNU General Public License as published by\n"
+           "the Free Software Foundation, either version 3 of the License, or")
+    apache = ('# Licensed under the Apache License, Version 2.0 (the "License");\n'
+              "# you may not use this file except in compliance with the License.")
+    plain = [f"some other paragraph number {i}\nabout the public version of things\nand the terms" for i in range(50)]
+    texts = [bsd, gpl, apache, "import os\n\n" + bsd + "\n\nend", "import os\nimport re\n" + gpl + "\n" + "import sys\n" * 30,
+             "Released under\nthe MIT\nLicense.", "Released\n\nunder\n\nthe MIT\n\nLicense."]
+    frame = table(spark, list(enumerate(texts + plain)))
+    got = {r.doc_id: [(f.line_no, f.family) for f in r.found if f.confirmed]
+           for r in licenses.scan(frame, licenses.fit(frame)).collect()}
+    assert {i: sorted({f for _, f in g}) for i, g in got.items() if g} == {
+        0: ["BSD"], 1: ["GPL"], 2: ["Apache-2.0"], 3: ["BSD"], 4: ["GPL"], 5: ["MIT"]}
+    assert (got[3], got[5]) == ([(2, "BSD")], [(0, "MIT")])
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 def test_chat_round_trip(spark):
