@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bloom_lm, chat, decontaminate, exact_dedup, fuzzy_lines, jaccard_join, licenses, mil_quality, raking, warc
+from labelloom.llm import bloom_lm, chat, decontaminate, exact_dedup, fuzzy_lines, jaccard_join, licenses, mil_quality, raking, simhash_tiles, warc
 from labelloom.llm.common import id_crc, materialize, table
 from labelloom.session import scratch_dir
 
@@ -181,3 +181,8 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(sure).cast("long").alias("n_confirmed"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda f: f["family"]))), ",").alias("families"),
         F.coalesce(F.array_max(F.transform(sure, lambda f: f["probability"])), F.lit(0.0)).alias("probability"))
+
+
+@query("op13_simhash_tiles")
+def op13_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_tiles.similar_classes(table(spark, sf_dir, "documents"))
