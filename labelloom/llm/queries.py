@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bloom_lm, chat, decontaminate, exact_dedup, fuzzy_lines, jaccard_join, licenses, mil_quality, raking, simhash_tiles, warc
+from labelloom.llm import bloom_lm, chat, decontaminate, exact_dedup, fuzzy_lines, jaccard_join, licenses, mil_quality, raking, repair_dawg, simhash_tiles, warc
 from labelloom.llm.common import id_crc, materialize, table
 from labelloom.session import scratch_dir
 
@@ -186,3 +186,72 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_simhash_tiles")
 def op13_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.similar_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op12_repair_dawg", r"""
+    WITH RECURSIVE crc_table AS (
+      SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+                  lambda c, x : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+      FROM range(256) r(n)),
+    keyed AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+    kinds AS (
+      SELECT *, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda x : ascii(x))),
+                    lambda c, b : xor(c >> 8, t[CAST(1 + (xor(c, b) & 255) AS BIGINT)]))) % 20 AS kind FROM keyed, crc_table),
+    damaged AS (
+      SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM kinds WHERE kind <> 0),
+    placed AS (
+      SELECT *, row_number() OVER w AS pos, lag(role) OVER w AS before
+      FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+    faults AS (
+      SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+    found AS (
+      SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+             count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal,
+             list(struct_pack(i := left(role, 1), f := fault) ORDER BY pos DESC) AS turns
+      FROM faults GROUP BY conv_id),
+    costs AS (  -- best[1..4]: cheapest edits of the turns so far, from the end, after nothing, s, u and a
+      SELECT conv_id, turns, 0 AS k, [struct_pack(c := 0, e := ''), struct_pack(c := 4, e := 'II'),
+                                      struct_pack(c := 2, e := 'I'), struct_pack(c := 0, e := '')] AS best FROM found
+      UNION ALL
+      SELECT conv_id, turns, k + 1, list_transform([1, 2, 3, 4], lambda s : list_min([
+               own[s], struct_pack(c := own[[3, 3, 4, 3][s]].c + 2, e := 'I' || own[[3, 3, 4, 3][s]].e),
+               struct_pack(c := own[[4, 4, 3, 4][s]].c + 4, e := 'II' || own[[4, 4, 3, 4][s]].e)]))
+      FROM (SELECT conv_id, turns, k, list_transform([1, 2, 3, 4], lambda s : list_min([
+                     struct_pack(c := best[s].c + 3, e := 'D' || best[s].e),
+                     struct_pack(c := best[[3, 3, 4, 3][s]].c + 2 + extra, e := 'R' || best[[3, 3, 4, 3][s]].e),
+                     struct_pack(c := CASE WHEN turns[k + 1].i = ['u', 'u', 'a', 'u'][s] THEN best[[3, 3, 4, 3][s]].c + extra
+                                           WHEN turns[k + 1].i = 's' AND s = 1 THEN best[2].c + extra ELSE 1000000 END,
+                                 e := 'K' || CASE WHEN turns[k + 1].i = 's' THEN best[2].e ELSE best[[3, 3, 4, 3][s]].e END)])) AS own
+            FROM (SELECT *, CASE turns[k + 1].f WHEN 'truncated' THEN 1 WHEN '' THEN 0 ELSE 1000000 END AS extra FROM costs)
+            WHERE k < len(turns))),
+    audits AS (SELECT conv_id, best[1].c AS cost, best[1].e AS audit FROM costs WHERE k = len(turns)),
+    letters AS (
+      SELECT conv_id, k, audit[k] AS letter, len(replace(audit[1:k], 'I', '')) AS pos, len(replace(audit[1:k], 'D', '')) AS made
+      FROM (SELECT *, unnest(range(1, len(audit) + 1)) AS k FROM audits)),
+    kept AS (
+      SELECT a.conv_id, k, made, letter, role, text,
+             max(letter = 'K' AND made = 1 AND left(role, 1) = 's') OVER (PARTITION BY a.conv_id) AS led
+      FROM letters a LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM a.conv_id AND f.pos = a.pos AND letter <> 'I'
+      WHERE letter <> 'D'),
+    repaired AS (
+      SELECT conv_id, count(*) AS turns, sha256(string_agg(CASE letter WHEN 'K' THEN role
+               ELSE CASE WHEN (made % 2 = 1) = coalesce(led, false) THEN 'assistant' ELSE 'user' END END || ':' ||
+             CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY k)) AS repaired_sha256 FROM kept GROUP BY conv_id)
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+           coalesce(audit, '') AS audit, coalesce(r.turns, 0) AS turns, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c
+    LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id""")
+def op12_repair_dawg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    return repair_dawg.repair_report(repair_dawg.plan_repair(repair_dawg.damage(talks), talks.select("conv_id")))
