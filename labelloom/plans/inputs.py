@@ -65,16 +65,18 @@ def fixed_predictions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def requests(docs: DataFrame) -> DataFrame:
-    """(request_id, body): one request per document, well-formed or not by
-    language: a list (en), a single object (es), a wrong field (fr), cut off (de)."""
+    """(request_id, body): a well-formed request for every document, a list of
+    comments or a single object (es, fr); and beside them, under negative ids,
+    broken copies with a wrong field (fr) or cut off (de)."""
     item = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("comment"))
     as_list = F.to_json(F.struct(F.array(item).alias("textComments")))
     as_object = F.to_json(F.struct(item.alias("textComments")))
     wrong = F.to_json(F.struct(F.array(item).alias("comments")))
-    lang = F.col("lang")
-    body = (F.when(lang == "en", as_list).when(lang == "es", as_object)
-            .when(lang == "fr", wrong).otherwise(F.rtrim(as_list, F.lit("}"))))
-    return docs.select(F.col("doc_id").alias("request_id"), body.alias("body"))
+    lang, own = F.col("lang"), F.col("doc_id")
+    good = F.struct(own.alias("request_id"), F.when(lang.isin("es", "fr"), as_object).otherwise(as_list).alias("body"))
+    broken = F.when(lang == "fr", wrong).when(lang == "de", F.rtrim(as_list, F.lit("}")))
+    both = F.array(good, F.struct((-own - 1).alias("request_id"), broken.alias("body")))
+    return docs.select(F.explode(both).alias("r")).select("r.*").where("body is not null")
 
 
 _DOT = " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * ({w!r})"

@@ -32,8 +32,7 @@ def _timed(df: DataFrame) -> DataFrame:
 
 
 @query("stream_source", """
-  SELECT doc_id AS request_id, CAST(doc_id AS VARCHAR) AS id, text AS comment
-  FROM documents WHERE lang IN ('en', 'es')""")
+  SELECT doc_id AS request_id, CAST(doc_id AS VARCHAR) AS id, text AS comment FROM documents""")
 def stream_source(spark: SparkSession, root: str) -> DataFrame:
     out = scratch_dir(spark, "stream-source")
     bodies = requests(stream_table(spark, root, "documents"))
@@ -99,12 +98,12 @@ def stream_late_data(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("stream_score", """
-  SELECT CAST(doc_id AS VARCHAR) AS id, TRUE AS as_in_batch FROM documents WHERE lang IN ('en', 'es')""")
+  SELECT CAST(doc_id AS VARCHAR) AS id, TRUE AS as_in_batch FROM documents""")
 def stream_score(spark: SparkSession, root: str) -> DataFrame:
     # Whether a comment gets the prediction it would get in a batch job.
     base = scratch_dir(spark, "stream-score")
     train = materialize(labelled(spark, root), "corpus")
-    stages = [*hashed_tfidf(num_features=1024).getStages(), make_classifier("logistic", maxIter=20)]
+    stages = [*hashed_tfidf().getStages(), make_classifier("logistic")]
     fitted = fit_once(Pipeline(stages=stages), train, keep=("id", "label"))
     model = load_pipeline(save_model(fitted, f"{base}/model"))
     stream = requests(stream_table(spark, root, "documents"))

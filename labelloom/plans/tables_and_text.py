@@ -82,16 +82,15 @@ def _requests(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("request_parse", """
-  SELECT doc_id AS request_id, CAST(doc_id AS VARCHAR) AS id, text AS comment
-  FROM documents WHERE lang IN ('en', 'es')""")
+  SELECT doc_id AS request_id, CAST(doc_id AS VARCHAR) AS id, text AS comment FROM documents""")
 def request_parse(spark: SparkSession, root: str) -> DataFrame:
     return rq.accepted_comments(rq.parse_requests(_requests(spark, root)), ("request_id",))
 
 
 @query("request_reject", """
-  SELECT doc_id AS request_id,
+  SELECT -doc_id - 1 AS request_id,
          CASE lang WHEN 'fr' THEN 'missing_textComments' ELSE 'not_json' END AS reject_reason
-  FROM documents WHERE lang NOT IN ('en', 'es')""")
+  FROM documents WHERE lang IN ('fr', 'de')""")
 def request_reject(spark: SparkSession, root: str) -> DataFrame:
     rejected = rq.rejected_requests(rq.parse_requests(_requests(spark, root)))
     return rejected.select("request_id", "reject_reason")
@@ -170,17 +169,15 @@ def cast_float(spark: SparkSession, root: str) -> DataFrame:
                                        for i in range(3)])
 
 
-@query("nonempty_tokens", """
-  SELECT doc_id AS id, CAST(len(text) AS INTEGER) AS n_chars FROM documents WHERE lang = 'en'""")
+@query("nonempty_tokens", f"""
+  SELECT doc_id AS id, 0 AS kind, CAST(len({q.clean_tokens('text')}) AS INTEGER) AS n_tokens FROM documents
+  WHERE len({q.clean_tokens('text')}) > 0""")
 def nonempty_tokens(spark: SparkSession, root: str) -> DataFrame:
-    lang = F.col("lang")
-    tokens = (F.when(lang == "en", tx.tokenize("text"))
-              .when(lang == "fr", F.array().cast("array<string>"))
-              .when(lang == "de", F.array(F.lit("")))
-              .when(lang == "es", F.array(F.lit(None).cast("string"))))
-    tagged = documents(spark, root).withColumn("tokens", tokens)
-    return rel.nonempty_tokens(tagged).select(F.col("doc_id").alias("id"),
-                                              F.length("text").alias("n_chars"))
+    # The tokens of every document, and beside them three kinds of empty lists.
+    kinds = F.array(tx.clean_tokens("comment"), F.array().cast("array<string>"), F.array(F.lit("")),
+                    F.array(F.lit(None).cast("string")), F.lit(None).cast("array<string>"))
+    tagged = texts(spark, root).select("id", F.posexplode(kinds).alias("kind", "tokens"))
+    return rel.nonempty_tokens(tagged).select("id", "kind", F.size("tokens").alias("n_tokens"))
 
 
 @query("vector_to_columns", "SELECT vec_id AS id, " + ", ".join(

@@ -87,6 +87,29 @@ def rejected_requests(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("reject_reason").isNotNull()).drop("items")
 
 
+def answered_requests(df: DataFrame, body: str = "body") -> DataFrame:
+    """A row for each comment (id, comment), and one for each body that can't be used, or not all of it.
+
+    The latter have a ``reject_reason`` and the body, comments have neither;
+    other columns are kept.  Bodies are parsed once for both.
+    """
+    def entry(item_id: Column, comment: Column, reason: Column) -> Column:
+        return F.struct(item_id.cast("string").alias(ID_FIELD), comment.cast("string").alias(COMMENT_FIELD),
+                        reason.cast("string").alias("reject_reason"))
+
+    none = F.lit(None)
+    empty = F.array().cast(f"array<struct<{ID_FIELD}:string,{COMMENT_FIELD}:string,reject_reason:string>>")
+
+    def entries(parsed: Column) -> Column:
+        comments = F.transform(parsed["items"], lambda i: entry(i[ID_FIELD], i[COMMENT_FIELD], none))
+        refusal = F.when(parsed["reason"].isNotNull(), F.array(entry(none, none, parsed["reason"])))
+        return F.concat(F.coalesce(comments, empty), F.coalesce(refusal, empty))
+
+    rows = exploded(df, df.columns, _let(_parsed(F.col(body)), entries), "entry")
+    return rows.select(*[c for c in df.columns if c != body], "entry.*",
+                       F.when(F.col("entry.reject_reason").isNotNull(), F.col(body)).alias(body))
+
+
 def response_json(prediction: Column | str = "prediction", row_id: Column | str = "id") -> Column:
     """One response record as JSON text."""
     p = F.col(prediction) if isinstance(prediction, str) else prediction

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from labelloom.operators.relational import skip_known
-from labelloom.sources.requests import accepted_comments, parse_requests, rejected_requests
+from labelloom.session import materialize
+from labelloom.sources.models import ModelPointer
+from labelloom.sources.requests import accepted_comments, answered_requests, parse_requests
+from labelloom.streaming.keys import KeyTable
 
 # Fixed value: quiet time before a batch of comments is sent off.
 DEBOUNCE = "3 seconds"
+# Folders that begin with an underscore are not read as part of the output.
+KEY_FOLDER, FRESH_FOLDER = "_keys", "_fresh"
 
 
 def drop_repeats(stream: DataFrame, row_id: str = "id", ts: str = "ts",
@@ -76,32 +78,25 @@ def one_per_id(batch: DataFrame, row_id: str = "id") -> DataFrame:
 
 
 def skip_scored_sink(path: str, score: Callable[[DataFrame], DataFrame] | None = None,
-                     row_id: str = "id") -> Callable[[DataFrame, int], None]:
-    """Like ``idempotent_sink``, but ids that an earlier batch wrote are left out
-    before ``score`` runs.
+                     row_id: str = "id", keys: KeyTable | None = None) -> Callable[[DataFrame, int], None]:
+    """Like ``idempotent_sink``, but ids of an earlier batch are left out before ``score`` runs.
 
-    Only the id column of the earlier output is read, and it is reduced to the
-    ids of this batch before any shuffle.
+    They are looked up in ``keys`` (by itself a table in the output's folder that
+    readers of the output don't see), where a batch reads the buckets of its own
+    ids only.  The ids go there after the output, so a batch that is retried in
+    between writes both again.
     """
+    table = keys or KeyTable(f"{path}/{KEY_FOLDER}", row_id)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = one_per_id(batch, row_id)
-        known = _earlier(batch, path, batch_id, row_id)
-        if known is not None:
-            fresh = skip_known(fresh, known, row_id)
+        fresh = materialize(table.unseen(one_per_id(batch, row_id), batch_id), "fresh",
+                            f"{path}/{FRESH_FOLDER}")
         out = score(fresh) if score else fresh
         out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        table.add(fresh, batch_id)
     return write
 
 
-def _earlier(batch: DataFrame, path: str, batch_id: int, row_id: str) -> DataFrame | None:
-    schema = T.StructType([batch.schema[row_id], T.StructField("batch_id", T.LongType())])
-    try:
-        known = batch.sparkSession.read.schema(schema).parquet(path)
-    except AnalysisException:  # nothing written yet
-        return None
-    return known.filter(F.col("batch_id") < batch_id).select(row_id)
-
-
 def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
           interval: str | None = None) -> StreamingQuery:
     """Run on a fixed interval, or over what is there now if none is given."""
@@ -111,24 +106,44 @@ def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     return writer.start()
 
 
-def score_requests(stream: DataFrame, model: PipelineModel, out: str, quarantine: str,
-                   checkpoint: str, interval: str | None = DEBOUNCE,
-                   body: str = "body") -> StreamingQuery:
-    """Score every comment of every request with a model loaded once.
+def score_requests(stream: DataFrame, model: PipelineModel | ModelPointer, out: str, quarantine: str,
+                   checkpoint: str, interval: str | None = DEBOUNCE, body: str = "body",
+                   ts: str | None = None, delay: str = "10 minutes") -> StreamingQuery:
+    """Score every comment of every request, each id once.
+
+    Predictions (id, prediction) go to ``out`` and unusable requests with their
+    reason to ``quarantine``.  With an event time ``ts``, keyed state drops ids
+    that come again within ``delay`` before they reach a batch; in any case the
+    table of scored ids keeps those of earlier batches out, however old.
 
-    Predictions (id, prediction) go to ``out`` without ids scored before, and
-    unusable requests with their reason to ``quarantine``.
+    A model that is given by a pointer is looked up between batches, and its
+    version is written with each prediction.
     """
-    scored_sink = skip_scored_sink(
-        out, lambda fresh: model.transform(fresh).select("id", "prediction"))
     rejected_sink = idempotent_sink(quarantine)
+    scored_sinks: dict[str, Callable[[DataFrame, int], None]] = {}
+
+    def scored_sink() -> Callable[[DataFrame, int], None]:
+        if isinstance(model, PipelineModel):
+            return scored_sinks.setdefault("", skip_scored_sink(
+                out, lambda fresh: model.transform(fresh).select("id", "prediction")))
+        version, current = model.current()
+        return scored_sinks.setdefault(version, skip_scored_sink(
+            out, lambda fresh: current.transform(fresh).select("id", "prediction", F.lit(version).alias("model_version"))))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_requests(batch, body).persist()
+        rows = batch.persist()
         try:
-            scored_sink(accepted_comments(parsed), batch_id)
-            rejected_sink(rejected_requests(parsed), batch_id)
+            scored_sink()(rows.where("reject_reason is null").select("id", "comment"), batch_id)
+            rejected_sink(rows.where("reject_reason is not null").drop("id", "comment"), batch_id)
         finally:
-            parsed.unpersist()
+            rows.unpersist()
+
+    return start(_answered(stream, body, ts, delay), sink, checkpoint, interval)
+
 
-    return start(stream, sink, checkpoint, interval)
+def _answered(stream: DataFrame, body: str, ts: str | None, delay: str) -> DataFrame:
+    """Rows of comments and of unusable requests; with an event time, none that comes again within ``delay``."""
+    if not ts:
+        return answered_requests(stream, body)
+    rows = answered_requests(stream.withWatermark(ts, delay), body)
+    return rows.withColumn("_refused", F.sha2(body, 256)).dropDuplicatesWithinWatermark(["id", "_refused"]).drop("_refused", ts)

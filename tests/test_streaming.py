@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from labelloom.operators.classify import make_classifier
 from labelloom.operators.feature_sets import hashed_tfidf
+from labelloom.sources.models import ModelPointer, save_model
 from labelloom.sources.tables import read_table, stream_table
 from labelloom.streaming import score as st
+from labelloom.streaming.keys import KeyTable
 
 T0 = dt.datetime(2024, 1, 1, 12, 0, 0)
 
@@ -107,3 +109,74 @@ def test_scoring_job(spark, tmp_path):
     assert got == {"a": 1.0, "b": 0.0, "c": 1.0}
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     assert [r.reject_reason for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["not_json"]
+
+
+def test_a_batch_reads_its_own_buckets(spark, tmp_path):
+    """However much the table holds, only the folders of the batch's ids are listed and read."""
+    table = KeyTable(str(tmp_path / "keys"), buckets=64)
+    for n in range(3):
+        table.add(spark.range(1000 * n, 1000 * n + 1000), n)
+    batch = spark.createDataFrame([(5,), (1500,), (-1,)], "id long")
+    mine = {r[0] for r in batch.select(table.bucket()).collect()}
+    files = table.known(batch, 3).inputFiles()
+    assert files and {int(f.split("key_bucket=")[1].split("/")[0]) for f in files} <= mine
+    assert [r.id for r in table.unseen(batch, 3).collect()] == [-1]
+    assert sorted(r.id for r in table.unseen(batch, 1).collect()) == [-1, 1500]  # as a retry of batch 1 sees it
+
+
+def test_keys_are_carried_to_the_next_epoch(spark, tmp_path):
+    table = KeyTable(str(tmp_path / "keys"), buckets=4, roll=3)
+    for n in range(8):
+        batch = spark.range(10 * n, 10 * n + 15)
+        fresh = table.unseen(batch, n)
+        assert fresh.count() == (15 if n == 0 else 10)
+        table.add(fresh, n)
+        if n == 3:  # the first batch of an epoch, once more
+            assert table.unseen(batch, n).count() == 10
+    files = table.known(spark.range(85), 8).inputFiles()
+    assert all("epoch=2" in f for f in files) and len({f for f in files if "key_batch=-1" in f}) <= 4
+
+
+def _post(spark, inbox, rows):
+    """Requests with the time of their arrival: [(seconds, ids)]."""
+    bodies = [(json.dumps({"textComments": [{"id": i, "comment": f"yes {i}"} for i in ids]}), at(s)) for s, ids in rows]
+    spark.createDataFrame(bodies, "body string, ts timestamp").write.mode("append").parquet(str(inbox))
+    return spark.readStream.schema("body string, ts timestamp").parquet(str(inbox))
+
+
+@pytest.fixture(scope="module")
+def yes_models(spark):
+    """Two models that disagree on everything."""
+    train = spark.createDataFrame([(i, "yes" if i % 2 else "no", float(i % 2)) for i in range(20)],
+                                  "id long, comment string, label double")
+    stages = [*hashed_tfidf(num_features=64).getStages(), make_classifier("logistic", regParam=0.0)]
+    return [Pipeline(stages=stages).fit(train.withColumn("label", F.abs(F.col("label") - flip))) for flip in (0, 1)]
+
+
+def test_repeats_across_requests_and_restarts(spark, tmp_path, yes_models):
+    """Repeats in a request, in the next, after a restart and long after are scored once."""
+    for rows in ([(0, ["a", "b", "a"]), (1, ["b", "c"])], [(2, ["c", "d"])], [(86_400, ["a", "d", "e"])]):
+        stream = _post(spark, tmp_path / "in", rows)
+        st.score_requests(stream, yes_models[0], str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / "c"),
+                          interval=None, ts="ts").awaitTermination()
+    got = sorted((r.id, r.batch_id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert [i for i, _ in got] == ["a", "b", "c", "d", "e"]
+    assert spark.read.schema("id string").parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_a_new_model_takes_over_without_a_restart(spark, tmp_path, yes_models):
+    pointer = ModelPointer(spark, str(tmp_path / "in_use"))
+    with pytest.raises(LookupError):
+        pointer.current()
+    for n, model in enumerate(yes_models):
+        save_model(model, str(tmp_path / f"model{n}"))
+    pointer.publish(str(tmp_path / "model0"))
+    query = st.score_requests(_post(spark, tmp_path / "in", [(0, ["a"])]), pointer, str(tmp_path / "out"),
+                              str(tmp_path / "bad"), str(tmp_path / "c"), interval="100 milliseconds")
+    query.processAllAvailable()
+    pointer.publish(str(tmp_path / "model1"))
+    _post(spark, tmp_path / "in", [(1, ["b"])])
+    query.processAllAvailable()
+    query.stop()
+    got = {r.id: (r.prediction, r.model_version) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a": (1.0, "1"), "b": (0.0, "2")}
