@@ -16,7 +16,9 @@ no hot key, and nothing is broadcast.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -31,9 +33,13 @@ from pyspark.sql import types as T
 
 from labelloom.llm.common import materialize, text_of
 
-CHUNK = 1 << 21  # bytes of text in a chunk; a longer text is a chunk of its own
+CHUNK = 1 << 20  # bytes of text in a chunk; a longer text is a chunk of its own
 PIECE = 1 << 18  # bytes of text tokenized at once
 PRODUCTS = 1 << 20  # products of a block of rows; a longer row is a block of its own
+ID = np.dtype("<u4")
+WORDS = 1 << 18  # words remembered by a worker
+LONG = 100  # characters of a word, beyond which it is not remembered
+SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 NO_TOKENS = ""  # the groups' digest of a text without tokens
 
 
@@ -122,21 +128,69 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in table]) for table in (self.a_bytes, self.b_bytes))
+        # Byte-level BPE begins a new word at a single space between other characters, by its pattern, and so does
+        # a model none of whose pieces has a space behind something else.
+        rule = json.loads(self.a.to_str())
+        letters_first = rule["pre_tokenizer"] or {}
+        self.by_words = (letters_first.get("type") == "ByteLevel" and letters_first.get("use_regex", True)
+                         and not rule["normalizer"]
+                         and not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(len(self.b_bytes))))
+        self.words: dict[str, tuple[bytes, bytes] | None] = {}
         # What the groups' text has for an id: within its group, then last of its group, for A and then for B.
         self.written = [f"{i}{end}" for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;"))
                         for end in ends for i in range(n)]
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The ids of space + text by A, and of text by B (which adds the space); none where bytes get lost."""
-        none, a, b = np.empty(0, dtype=np.int64), [], []
+    def whole(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The ids of space + text by A, and of text by B (which adds the space); None where bytes get lost."""
+        out = []
         for ids_a, ids_b, text in zip(self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False),
                                       self.b.encode(texts, num_threads=1), texts):
-            whole, ids_a = b" " + text.encode(), ids_a.ids
-            same = (len(text) > 0 and b"".join([self.a_bytes[i] for i in ids_a]) == whole
-                    and b"".join([self.b_bytes[i] for i in ids_b]) == whole)
-            a.append(np.array(ids_a, dtype=np.int64) if same else none)
-            b.append(np.array(ids_b, dtype=np.int64) if same else none)
-        return a, b
+            ids_a, space_text = ids_a.ids, b" " + text.encode()
+            same = (b"".join([self.a_bytes[i] for i in ids_a]) == space_text
+                    and b"".join([self.b_bytes[i] for i in ids_b]) == space_text)
+            out.append((np.array(ids_a, dtype=ID).tobytes(), np.array(ids_b, dtype=ID).tobytes()) if same else None)
+        return out
+
+    def _learned(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """The ids of words, encoded as one text and cut at its spaces; none if that can't be done."""
+        found, ends = [], np.cumsum([len(w.encode()) + 1 for w in words])
+        for data, sizes in zip(self.whole([" ".join(words)])[0] or (), (self.a_sizes, self.b_sizes)):
+            token_ends = np.cumsum(sizes[np.frombuffer(data, dtype=ID)])
+            cuts = np.searchsorted(token_ends, ends)
+            if (token_ends[cuts] != ends).any():
+                return {}
+            cuts = [0, *((cuts + 1) * ID.itemsize).tolist()]
+            found.append([data[s:e] for s, e in zip(cuts, cuts[1:])])
+        return dict(zip(words, zip(*found))) if found else {}
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids by A and by B, none for texts without any or whose bytes get lost.
+
+        Where both tokenizers are known never to cross a single space, words are
+        encoded once and remembered; they repeat far more often than texts.
+        """
+        words = [SINGLE_SPACE.split(t) if self.by_words else [t] for t in texts]
+        if len(self.words) > WORDS:
+            self.words.clear()
+        new = list({w for ws in words for w in ws if w not in self.words})
+        inner = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()] if self.by_words else []
+        self.words.update(self._learned(inner))
+        outer = [w for w in new if w not in self.words]
+        self.words.update(zip(outer, self.whole(outer)))
+        out = [], []
+        for text, ws in zip(texts, words):
+            known = [self.words[w] for w in ws]
+            if None in known:
+                # A word that loses bytes: the whole text decides.
+                known = self.whole([text])
+            if not text or known == [None]:
+                known = []
+            for k, side in enumerate(out):
+                side.append(np.frombuffer(b"".join([ids[k] for ids in known]), dtype=ID).astype(np.int64))
+        for w in new:
+            if len(w) > LONG:
+                del self.words[w]
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -96,6 +96,19 @@ def test_edge_cases_and_clashing_names(spark, chunk):
     same(got(ta.align(docs, TOKENIZER_A, TOKENIZER_B, chunk=chunk)), expected(EDGES))
 
 
+def test_remembered_words_equal_whole_texts(monkeypatch):
+    """Texts cut at single spaces, with all kinds of blanks, against encoding them as they are."""
+    monkeypatch.setattr(ta, "WORDS", 20)
+    tools, draw = ta.Tokenizers(TOKENIZER_A, TOKENIZER_B), random.Random(8)
+    parts = ["a", "it's", "'s", "42", "é", "漢", "🙂", "▁", "<0x41>", "...", "\n", "\t", "\x1c", "\x85", "\u00a0", "\u3000", " ", " ", " ", " ", "ab" * 80]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(30))) for _ in range(3000)]
+    assert tools.by_words
+    for at in range(0, len(texts), 100):
+        for text, a, b in zip(texts[at:at + 100], *tools.encode(texts[at:at + 100])):
+            want = [[i for i, _, _ in side] for side in tokens(tools, text)]
+            assert [a.tolist(), b.tolist()] == want, repr(text)
+
+
 def test_empty_table(spark):
     assert ta.align(spark.createDataFrame([], DOCS), TOKENIZER_A, TOKENIZER_B).collect() == []
 
