@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelloom.functions.numeric import finite
 from labelloom.operators.relational import exploded
+from labelloom.session import materialize
+
+CHUNK_TERMS = 1 << 20  # counted terms of the rows that are pooled together
+BLOCK_DIMS = 128  # dimensions of a vector that travel together
+PRODUCTS = 1 << 15  # counted terms multiplied at once
 
 
 def term_frequency(df: DataFrame, tokens: str = "tokens", row_id: str = "id") -> DataFrame:
@@ -85,25 +94,76 @@ def mean_pool(df: DataFrame, row_id: str = "id", vector: str = "vector",
 
 
 def pooled_word_vectors(df: DataFrame, word_vectors: DataFrame, tokens: str = "tokens",
-                        row_id: str = "id", unknown: str = "skip", dim: int | None = None) -> DataFrame:
+                        row_id: str = "id", unknown: str = "skip", dim: int | None = None,
+                        chunk: int = CHUNK_TERMS, block: int = BLOCK_DIMS) -> DataFrame:
     """Mean of the word vectors of each row's tokens: (id, features).
 
-    Tokens are counted per row before the join by term.  ``unknown="skip"`` leaves
-    out words without a vector (rows without any known word vanish);
-    ``unknown="zero"`` counts them as zero vectors and needs ``dim``.
+    Rows are dealt to chunks of about ``chunk`` counted terms.  A chunk asks for
+    each of its terms once, so a vector travels once per chunk and not once per
+    row, and no term is a hot key.  Vectors are cut into blocks of dimensions,
+    and a task multiplies one chunk's (rows x terms) counts with one block; so
+    neither needs a row's full width nor a chunk's whole dictionary in one place.
+    The blocks of a row are put together once.
+
+    ``unknown="skip"`` leaves out words without a vector (rows without any known
+    word vanish); ``unknown="zero"`` counts them as zero vectors and needs ``dim``.
+    Rows that share an id are pooled together.
     """
     if unknown not in ("skip", "zero"):
         raise ValueError(f"unknown must be 'skip' or 'zero', not {unknown!r}")
     if unknown == "zero" and dim is None:
         raise ValueError("unknown='zero' needs dim")
-    table = word_vectors.select(F.col("word").alias("term"), F.col("vector").alias("_v"))
-    tf = term_frequency(df, tokens, row_id)
-    how = "inner" if unknown == "skip" else "left"
-    joined = tf.join(table, "term", how)
-    if unknown == "zero":
-        zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-        joined = joined.withColumn("_v", F.coalesce("_v", zero))
-    return mean_pool(joined, row_id, "_v", "tf")
+    rows = materialize(df.select(F.col(row_id).alias("id"), _runs(F.col(tokens)).alias("runs")).select(
+        "id", F.col("runs.term").alias("terms"), F.col("runs.tf").alias("tfs")).where(F.size("terms") > 0), "pool-rows")
+    table = word_vectors.select(F.col("word").alias("term"), F.col("vector").cast("array<float>").alias("v"))
+    if dim is None:
+        first = table.select(F.size("v").alias("n")).first()
+        dim = first.n if first else 1
+    total = rows.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    chunk_of = F.pmod(F.xxhash64("id"), F.lit(total // chunk + 1))
+    wanted = rows.select(chunk_of.alias("chunk"), F.explode("terms").alias("term")).distinct()
+    parts = F.transform(F.sequence(F.lit(0), F.lit((dim - 1) // block)),
+                        lambda b: F.slice("v", b * block + 1, F.lit(block)))
+    vectors = wanted.join(table, "term").select(F.col("chunk").alias("of_chunk"), "term",
+                                                F.posexplode(parts).alias("of_block", "part"))
+    sides = rows.select(chunk_of.alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit((dim - 1) // block))).alias("block"),
+                        "id", "terms", "tfs")
+    kind = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("block", T.IntegerType()),
+                         T.StructField("part", T.ArrayType(T.DoubleType()))])
+    pooled = sides.groupBy("chunk", "block").cogroup(vectors.groupBy("of_chunk", "of_block")).applyInArrow(
+        _pooled_block(unknown == "zero", dim, block), kind)
+    whole = pooled.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("block", "part"))).alias("parts"))
+    return whole.select(F.col("id").alias(row_id), F.flatten("parts.part").alias("features"))
+
+
+def _pooled_block(zero: bool, dim: int, block: int):
+    """Counts of a chunk's rows times a block of its terms' vectors, divided by the rows' counts."""
+    def run(rows: pa.Table, vectors: pa.Table) -> pa.Table:
+        ids, b = rows.column("id").combine_chunks(), rows.column("block")[0].as_py() if len(rows) else 0
+        terms, counts = (rows.column(c).combine_chunks() for c in ("terms", "tfs"))
+        width = min(block, dim - b * block)
+        table = np.zeros((len(vectors) + 1, width))
+        if len(vectors):
+            table[:-1] = vectors.column("part").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        # Unknown terms are the last, empty row of the table.
+        place = pc.index_in(terms.flatten(), value_set=vectors.column("term").combine_chunks()).fill_null(len(vectors)).to_numpy()
+        tf = counts.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        weight = tf if zero else np.where(place < len(vectors), tf, 0.0)
+        coded = ids.dictionary_encode("encode")
+        row = np.repeat(coded.indices.to_numpy(), np.diff(terms.offsets.to_numpy()))
+        order = np.argsort(row, kind="stable")
+        row, place, tf = row[order], place[order], tf[order]
+        sums, heavy = np.zeros((len(coded.dictionary), width)), np.bincount(row, weights=weight[order], minlength=len(coded.dictionary))
+        for at in range(0, len(row), PRODUCTS):
+            here = row[at:at + PRODUCTS]
+            heads = np.flatnonzero(np.diff(here, prepend=-1))
+            sums[here[heads]] += np.add.reduceat(table[place[at:at + PRODUCTS]] * tf[at:at + PRODUCTS, None], heads)
+        known = np.flatnonzero(heavy > 0)
+        means = sums[known] / heavy[known, None]
+        part = pa.ListArray.from_arrays(np.arange(len(known) + 1, dtype=np.int32) * width, means.ravel())
+        return pa.table([coded.dictionary.take(pa.array(known)), pa.array(np.full(len(known), b, dtype=np.int32)), part],
+                        names=["id", "block", "part"])
+    return run
 
 
 def assemble(df: DataFrame, values: str = "features") -> DataFrame:

@@ -368,10 +368,12 @@ def balance_classes(spark: SparkSession, root: str) -> DataFrame:
         "id", F.col("label").cast("double").alias("label"))
 
 
-@query("shuffle_order", f"SELECT doc_id AS id, {q.digest('doc_id')} AS sort_key FROM documents")
+@query("shuffle_order", f"""
+  SELECT doc_id AS id, {q.digest('doc_id')} AS sort_key,
+         row_number() OVER (ORDER BY {q.digest('doc_id')}, doc_id) AS position FROM documents""")
 def shuffle_order(spark: SparkSession, root: str) -> DataFrame:
-    return sampling.shuffle_order(sourced(spark, root)).select(
-        "id", row_digest("id").alias("sort_key"))
+    return sampling.shuffle_order(sourced(spark, root), position="position").select(
+        "id", row_digest("id").alias("sort_key"), "position")
 
 
 # --- text and tokens -----------------------------------------------------------------
