@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,9 +18,10 @@ from labelloom.functions.numeric import finite
 from labelloom.operators.relational import exploded
 from labelloom.session import materialize
 
-CHUNK_TERMS = 1 << 20  # counted terms of the rows that are pooled together
-BLOCK_DIMS = 128  # dimensions of a vector that travel together
-PRODUCTS = 1 << 15  # counted terms multiplied at once
+CHUNK_TERMS = 1 << 21  # tokens of the rows that are pooled together
+BLOCK_DIMS = 64  # dimensions of a vector that travel together
+PRODUCTS = 1 << 11  # counted terms multiplied at once, which fit into a core's cache
+BLOCK_SCHEMA = "term string, block int, part binary"
 
 
 def term_frequency(df: DataFrame, tokens: str = "tokens", row_id: str = "id") -> DataFrame:
@@ -93,17 +96,41 @@ def mean_pool(df: DataFrame, row_id: str = "id", vector: str = "vector",
     return df.groupBy(row_id).agg(vector_to_array(mean).alias("features"))
 
 
+def vector_blocks(word_vectors: DataFrame, block: int = BLOCK_DIMS) -> DataFrame:
+    """(term, block, part) of a table (word, vector): float32 bytes of ``block`` dimensions each.
+
+    Bytes are shuffled as they are, while an array would be taken apart and
+    put together value by value on the way.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            if len(batch):
+                yield split_blocks(batch.column(0), values.reshape(len(batch), -1), block)
+
+    table = word_vectors.select(F.col("word").alias("term"), F.col("vector").cast("array<float>").alias("v"))
+    return table.where("term is not null and v is not null").mapInArrow(run, BLOCK_SCHEMA)
+
+
+def split_blocks(terms: pa.Array, vectors: np.ndarray, block: int) -> pa.RecordBatch:
+    starts = range(0, vectors.shape[1], block)
+    parts = [np.ascontiguousarray(vectors[:, at:at + block]) for at in starts]
+    return pa.RecordBatch.from_arrays(
+        [pa.concat_arrays([terms] * len(parts)), pa.array(np.repeat(np.arange(len(parts), dtype=np.int32), len(terms))),
+         pa.array([row.tobytes() for part in parts for row in part], pa.binary())], names=["term", "block", "part"])
+
+
 def pooled_word_vectors(df: DataFrame, word_vectors: DataFrame, tokens: str = "tokens",
                         row_id: str = "id", unknown: str = "skip", dim: int | None = None,
                         chunk: int = CHUNK_TERMS, block: int = BLOCK_DIMS) -> DataFrame:
     """Mean of the word vectors of each row's tokens: (id, features).
 
-    Rows are dealt to chunks of about ``chunk`` counted terms.  A chunk asks for
-    each of its terms once, so a vector travels once per chunk and not once per
-    row, and no term is a hot key.  Vectors are cut into blocks of dimensions,
-    and a task multiplies one chunk's (rows x terms) counts with one block; so
-    neither needs a row's full width nor a chunk's whole dictionary in one place.
-    The blocks of a row are put together once.
+    Rows are dealt to chunks of about ``chunk`` tokens.  A chunk asks for each of
+    its terms once, so a vector travels once per chunk and not once per row, and
+    no term is a hot key.  Vectors are cut into blocks of dimensions, and a task
+    multiplies one chunk's (rows x terms) counts with one block; so neither a
+    row's full width nor a chunk's whole dictionary is in one place.  The blocks
+    of a row are put together once.
 
     ``unknown="skip"`` leaves out words without a vector (rows without any known
     word vanish); ``unknown="zero"`` counts them as zero vectors and needs ``dim``.
@@ -113,51 +140,56 @@ def pooled_word_vectors(df: DataFrame, word_vectors: DataFrame, tokens: str = "t
         raise ValueError(f"unknown must be 'skip' or 'zero', not {unknown!r}")
     if unknown == "zero" and dim is None:
         raise ValueError("unknown='zero' needs dim")
-    rows = materialize(df.select(F.col(row_id).alias("id"), _runs(F.col(tokens)).alias("runs")).select(
-        "id", F.col("runs.term").alias("terms"), F.col("runs.tf").alias("tfs")).where(F.size("terms") > 0), "pool-rows")
-    table = word_vectors.select(F.col("word").alias("term"), F.col("vector").cast("array<float>").alias("v"))
     if dim is None:
-        first = table.select(F.size("v").alias("n")).first()
+        first = word_vectors.select(F.size("vector").alias("n")).first()
         dim = first.n if first else 1
+    rows = token_rows(df, tokens, row_id)
+    return pooled_rows(rows, vector_blocks(word_vectors, block), dim, unknown == "zero", chunk, block).withColumnRenamed("id", row_id)
+
+
+def token_rows(df: DataFrame, tokens: str = "tokens", row_id: str = "id") -> DataFrame:
+    """(id, terms) of the rows with tokens, written once for all that reads them."""
+    rows = df.select(F.col(row_id).alias("id"), F.filter(F.col(tokens), lambda t: t.isNotNull()).alias("terms"))
+    return materialize(rows.where(F.size("terms") > 0), "token-rows")
+
+
+def pooled_rows(rows: DataFrame, blocks: DataFrame, dim: int, zero: bool = False, chunk: int = CHUNK_TERMS,
+                block: int = BLOCK_DIMS) -> DataFrame:
+    """``pooled_word_vectors`` of ``token_rows`` and ``vector_blocks``: (id, features)."""
     total = rows.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
     chunk_of = F.pmod(F.xxhash64("id"), F.lit(total // chunk + 1))
-    wanted = rows.select(chunk_of.alias("chunk"), F.explode("terms").alias("term")).distinct()
-    parts = F.transform(F.sequence(F.lit(0), F.lit((dim - 1) // block)),
-                        lambda b: F.slice("v", b * block + 1, F.lit(block)))
-    vectors = wanted.join(table, "term").select(F.col("chunk").alias("of_chunk"), "term",
-                                                F.posexplode(parts).alias("of_block", "part"))
-    sides = rows.select(chunk_of.alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit((dim - 1) // block))).alias("block"),
-                        "id", "terms", "tfs")
+    wanted = exploded(rows.withColumn("chunk", chunk_of), ["chunk"], F.array_distinct("terms"), "term").distinct()
+    vectors = wanted.join(blocks, "term").select(F.col("chunk").alias("of_chunk"), F.col("block").alias("of_block"), "term", "part")
+    n_blocks = -(-dim // block)
+    sides = rows.select(chunk_of.alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "id", "terms")
     kind = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("block", T.IntegerType()),
                          T.StructField("part", T.ArrayType(T.DoubleType()))])
     pooled = sides.groupBy("chunk", "block").cogroup(vectors.groupBy("of_chunk", "of_block")).applyInArrow(
-        _pooled_block(unknown == "zero", dim, block), kind)
+        _pooled_block(zero, dim, block), kind)
     whole = pooled.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("block", "part"))).alias("parts"))
-    return whole.select(F.col("id").alias(row_id), F.flatten("parts.part").alias("features"))
+    return whole.select("id", F.flatten("parts.part").alias("features"))
 
 
 def _pooled_block(zero: bool, dim: int, block: int):
-    """Counts of a chunk's rows times a block of its terms' vectors, divided by the rows' counts."""
+    """Means of a chunk's rows over one block of its terms' vectors."""
     def run(rows: pa.Table, vectors: pa.Table) -> pa.Table:
         ids, b = rows.column("id").combine_chunks(), rows.column("block")[0].as_py() if len(rows) else 0
-        terms, counts = (rows.column(c).combine_chunks() for c in ("terms", "tfs"))
-        width = min(block, dim - b * block)
-        table = np.zeros((len(vectors) + 1, width))
-        if len(vectors):
-            table[:-1] = vectors.column("part").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        terms, width = rows.column("terms").combine_chunks(), min(block, dim - b * block)
         # Unknown terms are the last, empty row of the table.
+        table = np.zeros((len(vectors) + 1, width), dtype=np.float32)
+        table[:-1] = np.frombuffer(b"".join(vectors.column("part").to_pylist()), dtype=np.float32).reshape(-1, width)
         place = pc.index_in(terms.flatten(), value_set=vectors.column("term").combine_chunks()).fill_null(len(vectors)).to_numpy()
-        tf = counts.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        weight = tf if zero else np.where(place < len(vectors), tf, 0.0)
         coded = ids.dictionary_encode("encode")
         row = np.repeat(coded.indices.to_numpy(), np.diff(terms.offsets.to_numpy()))
-        order = np.argsort(row, kind="stable")
-        row, place, tf = row[order], place[order], tf[order]
-        sums, heavy = np.zeros((len(coded.dictionary), width)), np.bincount(row, weights=weight[order], minlength=len(coded.dictionary))
+        # Equal (row, term) are counted first, so each vector is taken once per row.
+        cell, count = np.unique(row.astype(np.int64) * len(table) + place, return_counts=True)
+        row, place = cell // len(table), cell % len(table)
+        weight = np.where(place < len(vectors), count, count if zero else 0)
+        sums, heavy = np.zeros((len(coded.dictionary), width)), np.bincount(row, weights=weight, minlength=len(coded.dictionary))
         for at in range(0, len(row), PRODUCTS):
             here = row[at:at + PRODUCTS]
             heads = np.flatnonzero(np.diff(here, prepend=-1))
-            sums[here[heads]] += np.add.reduceat(table[place[at:at + PRODUCTS]] * tf[at:at + PRODUCTS, None], heads)
+            sums[here[heads]] += np.add.reduceat(table[place[at:at + PRODUCTS]] * count[at:at + PRODUCTS, None].astype(np.float64), heads)
         known = np.flatnonzero(heavy > 0)
         means = sums[known] / heavy[known, None]
         part = pa.ListArray.from_arrays(np.arange(len(known) + 1, dtype=np.int32) * width, means.ravel())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.numeric import dot, sigmoid
+from labelloom.operators.relational import exploded
 from labelloom.session import spread
 from labelloom.sources.tables import read_table
 
@@ -79,6 +80,13 @@ def requests(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(both).alias("r")).select("r.*").where("body is not null")
 
 
+def suffix_dictionary(tokens: DataFrame) -> DataFrame:
+    """A stand-in lemma table drawn from the corpus: forms in -ing lose it."""
+    return (exploded(tokens, [], F.array_distinct("tokens"), "form")
+            .filter(F.col("form").rlike("^.{3,}ing$")).distinct()
+            .select("form", F.expr("substring(form, 1, length(form) - 3)").alias("lemma")))
+
+
 _DOT = " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * ({w!r})"
                   for i, w in enumerate(FIXED_WEIGHTS))
 FIXED_SCORE_SQL = f"1.0 / (1.0 + exp(-(({_DOT}) + {FIXED_INTERCEPT})))"

@@ -9,31 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions import text as tx
-from labelloom.operators import classify, evaluate as ev, relational as rel, weights
-from labelloom.operators.feature_sets import feature_set
+from labelloom.operators import classify, evaluate as ev, relational as rel, weights, word_vectors
+from labelloom.operators.feature_sets import TFIDF_BUCKETS, feature_set
 from labelloom.operators.sampling import train_test_split
+from labelloom.operators.word_vectors import MIN_COUNT, WINDOW
 from labelloom.plans import sqltext as q
 from labelloom.plans.experiment import run_matrix
 from labelloom.plans.inputs import (FIXED_PREDICTIONS_SQL, FIXED_SCORE_SQL, LABELLED_SQL, documents,
-                                    fixed_predictions, fixed_score, labelled, texts, vectors)
+                                    fixed_predictions, fixed_score, labelled, suffix_dictionary, texts, vectors)
 from labelloom.plans.prepare import fit_once, sentence_corpus, token_corpus
+from labelloom.plans.ledger import Ledger
 from labelloom.plans.registry import query
 from labelloom.session import materialize, scratch_dir
 from labelloom.sources.models import load_pipeline, save_model
 from labelloom.sources.tables import read_table
 
+# The families that need no table of the caller's.
+MATRIX_FAMILIES = ("tfidf", "word2vec", "encoder_tokens", "encoder_sentence")
+
 # --- the load-and-clean half of a training run -----------------------------------
 
 
 @query("flagship", f"""
-  WITH t AS (SELECT id, label, {q.clean_tokens('comment')} AS tokens FROM ({LABELLED_SQL})
+  WITH t AS (SELECT id, label, {q.lemma_tokens('comment')} AS tokens FROM ({LABELLED_SQL})
              WHERE comment IS NOT NULL AND label IS NOT NULL),
   k AS (SELECT min(label) AS label FROM t WHERE len(tokens) > 0
         GROUP BY tokens HAVING count(DISTINCT label) = 1)
   SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
   FROM k GROUP BY label""")
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    out = rel.class_distribution(token_corpus(labelled(spark, root)))
+    rows = labelled(spark, root)
+    lemmas = suffix_dictionary(rows.select(tx.normalized_tokens("comment").alias("tokens")))
+    out = rel.class_distribution(token_corpus(rows, lemmas=lemmas))
     return out.select(F.col("label").cast("double").alias("label"), "n",
                       F.round("share", 6).alias("share"))
 
@@ -128,9 +135,10 @@ def features_pretrained_words(spark: SparkSession, root: str) -> DataFrame:
   SELECT doc_id AS id, CAST(len({q.clean_tokens('text')}) AS BIGINT) AS n_tokens FROM documents""")
 def hashing_tf(spark: SparkSession, root: str) -> DataFrame:
     # Which slot a token gets is Spark's choice; that none gets lost is checked.
-    hashed = HashingTF(numFeatures=1024, inputCol="tokens", outputCol="tf").transform(
+    hashed = HashingTF(numFeatures=TFIDF_BUCKETS, inputCol="tokens", outputCol="tf").transform(
         _tokens(spark, root))
-    total = F.aggregate(vector_to_array("tf"), F.lit(0.0), lambda a, x: a + x)
+    # The counts of the slots in use, without writing out the others.
+    total = F.aggregate(F.unwrap_udt("tf")["values"], F.lit(0.0), lambda a, x: a + x)
     return hashed.select("id", total.cast("bigint").alias("n_tokens"))
 
 
@@ -150,9 +158,9 @@ def _width_sql(width: int, unit: bool = False, where: str = "") -> str:
                {', true AS unit_norm' if unit else ''} FROM documents {where}"""
 
 
-@query("features_tfidf", _width_sql(50))
+@query("features_tfidf", _width_sql(500))
 def features_tfidf(spark: SparkSession, root: str) -> DataFrame:
-    return _features(spark, root, "tfidf", num_features=1024, k=50).drop("norm")
+    return _features(spark, root, "tfidf").drop("norm")
 
 
 _VARIANCES = " + ".join(f"var_samp(CAST(embedding[{i + 1}] AS DOUBLE))" for i in range(64))
@@ -182,6 +190,43 @@ def features_word2vec(spark: SparkSession, root: str) -> DataFrame:
     return _features(spark, root, "word2vec").drop("norm")
 
 
+_MEETINGS = f"""
+  WITH t AS (SELECT doc_id, {q.clean_tokens('text')} AS w FROM documents),
+  e AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM t),
+  m AS (SELECT x.term AS a, y.term AS b FROM e x, range(1, {WINDOW + 1}) r(o)
+        JOIN e y ON y.doc_id = x.doc_id AND y.pos = x.pos + o),
+  c AS (SELECT word, context, count(*) AS n FROM (SELECT a AS word, b AS context FROM m UNION ALL SELECT b, a FROM m)
+        GROUP BY word, context)"""
+
+
+@query("cooccurrences", f"""{_MEETINGS}
+  SELECT word, count(*) AS n_contexts, CAST(sum(n) AS BIGINT) AS n_meetings, max(n) AS most FROM c GROUP BY word""")
+def cooccurrences(spark: SparkSession, root: str) -> DataFrame:
+    return word_vectors.cooccurrences(_tokens(spark, root)).groupBy("word").agg(
+        F.count("*").alias("n_contexts"), F.sum("n").alias("n_meetings"), F.max("n").alias("most"))
+
+
+@query("word_pmi", f"""{_MEETINGS},
+  kept AS (SELECT word FROM c GROUP BY word HAVING sum(n) >= {MIN_COUNT}),
+  i AS (SELECT * FROM c WHERE word IN (SELECT word FROM kept) AND context IN (SELECT word FROM kept)),
+  s AS (SELECT word, sum(n) AS n FROM i GROUP BY word),
+  p AS (SELECT i.word, ln(CAST(i.n AS DOUBLE) * (SELECT CAST(sum(n) AS DOUBLE) FROM s) / (CAST(x.n AS DOUBLE) * y.n)) AS pmi
+        FROM i JOIN s x ON x.word = i.word JOIN s y ON y.word = i.context)
+  SELECT word, count(*) AS n_contexts, round(max(pmi), 6) AS highest, round(avg(pmi), 5) AS mean FROM p WHERE pmi > 1e-9 GROUP BY word""")
+def word_pmi(spark: SparkSession, root: str) -> DataFrame:
+    counts = materialize(word_vectors.cooccurrences(_tokens(spark, root)), "cooccurrences")
+    return word_vectors.word_pmi(counts).where("pmi > 1e-9").groupBy("word").agg(
+        F.count("*").alias("n_contexts"), F.round(F.max("pmi"), 6).alias("highest"), F.round(F.avg("pmi"), 5).alias("mean"))
+
+
+@query("features_word_pmi", f"""{_MEETINGS}
+  SELECT DISTINCT doc_id AS id, CAST(300 AS BIGINT) AS width, true AS is_finite FROM e
+  WHERE term IN (SELECT word FROM c GROUP BY word HAVING sum(n) >= {MIN_COUNT})""")
+def features_word_pmi(spark: SparkSession, root: str) -> DataFrame:
+    # Documents of rare words only have no vector.
+    return _features(spark, root, "word_pmi").drop("norm")
+
+
 @query("features_encoder_tokens", _width_sql(768, where=f"WHERE len({q.clean_tokens('text')}) > 0"))
 def features_encoder_tokens(spark: SparkSession, root: str) -> DataFrame:
     return _features(spark, root, "encoder_tokens").drop("norm")
@@ -200,11 +245,11 @@ def _all_equal(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
                      F.count_if(F.col("_a") == F.col("_b")).alias("n_equal"))
 
 
-@query("stages_roundtrip", f"""
-  SELECT count(*) AS n_rows, count(*) AS n_equal FROM ({LABELLED_SQL})""")
+@query("stages_roundtrip", """
+  SELECT count(*) AS n_rows, count(*) AS n_equal FROM documents""")
 def stages_roundtrip(spark: SparkSession, root: str) -> DataFrame:
-    corpus = materialize(labelled(spark, root), "corpus")
-    model = fit_once(feature_set("tfidf", num_features=256, k=8), corpus)
+    corpus = materialize(texts(spark, root), "corpus")
+    model = fit_once(feature_set("tfidf"), corpus)
     back = load_pipeline(save_model(model, scratch_dir(spark, "stages")))
     return _all_equal(model.transform(corpus), back.transform(corpus), "features")
 
@@ -272,8 +317,7 @@ def cv_scores(spark: SparkSession, root: str) -> DataFrame:
   WHERE {q.bucket('vec_id', 100)} >= 80""")
 def model_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     train, test = _split_vectors(spark, root)
-    model = Pipeline(stages=[classify.make_classifier("mlp", classify.feature_width(train),
-                                                      maxIter=20)]).fit(train)
+    model = Pipeline(stages=[classify.make_classifier("mlp", classify.feature_width(train))]).fit(train)
     back = load_pipeline(save_model(model, scratch_dir(spark, "model")))
     return _all_equal(model.transform(test), back.transform(test), "rawPrediction")
 
@@ -288,20 +332,36 @@ def score_fixed_logistic(spark: SparkSession, root: str) -> DataFrame:
                          (F.col("p") >= 0.5).cast("double").alias("prediction"))
 
 
+def _matrix_datasets(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    turns = read_table(spark, root, "conversations").select(
+        (F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), F.col("text").alias("comment"),
+        (F.col("role") == "user").cast("float").alias("label"))
+    return {"documents": sentence_corpus(labelled(spark, root)), "conversations": sentence_corpus(turns)}
+
+
 @query("experiment_matrix", """
-  SELECT dataset, feature_set, model, metric, true AS in_range
-  FROM (VALUES ('documents'), ('conversations')) d(dataset), (VALUES ('tfidf'), ('encoder_sentence')) f(feature_set),
+  SELECT dataset, feature_set, model, CASE model WHEN 'logistic' THEN 9 ELSE 0 END AS n_tried, 5 AS n_report_rows,
+         metric, true AS in_range, true AS errors_agree
+  FROM (VALUES ('documents'), ('conversations')) d(dataset),
+       (VALUES ('tfidf'), ('word2vec'), ('encoder_tokens'), ('encoder_sentence')) f(feature_set),
        (VALUES ('logistic'), ('forest'), ('svc'), ('mlp')) m(model),
        (VALUES ('accuracy'), ('f1_macro'), ('f1_weighted'), ('auroc'), ('aupr'), ('mcc')) k(metric)""")
 def experiment_matrix(spark: SparkSession, root: str) -> DataFrame:
-    turns = read_table(spark, root, "conversations").filter(F.col("role") != "system").select(
-        (F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), F.col("text").alias("comment"),
-        (F.col("role") == "user").cast("float").alias("label"))
-    families = {"tfidf": {"num_features": 1024, "k": 16}, "encoder_sentence": {"dim": 32}}
-    boards = [run_matrix(name, sentence_corpus(rows), families, tune=False)
-              for name, rows in (("documents", labelled(spark, root)), ("conversations", turns))]
-    return boards[0].unionByName(boards[1]).select(
-        "dataset", "feature_set", "model", "metric", (F.col("value").between(-1, 1) & (F.col("rank") >= 1)).alias("in_range"))
+    """Every run of the ledger with its metrics; the rows it got wrong agree with its accuracy."""
+    ledger = Ledger(spark, scratch_dir(spark, "ledger"))
+    for name, corpus in _matrix_datasets(spark, root).items():
+        run_matrix(name, corpus, {family: {} for family in MATRIX_FAMILIES}, tune={"logistic"}, ledger=ledger)
+    runs = ledger.runs()
+    wrong = spark.read.schema("label double, prediction double").option("basePath", ledger.folder("predictions", "")).parquet(
+        ledger.folder("predictions", "*")).select(F.regexp_extract(F.input_file_name(), "predictions/([0-9a-f]+)/", 1).alias("key"),
+                                                  (F.col("label") == F.col("prediction")).cast("double").alias("hit"))
+    share = wrong.groupBy("key").agg(F.avg("hit").alias("share"))
+    accuracy = F.expr("element_at(filter(metrics, m -> m.metric = 'accuracy'), 1).value")
+    return runs.join(share, "key").select(
+        "dataset", "feature_set", "model", F.size("tried").alias("n_tried"), F.size("report").alias("n_report_rows"),
+        (F.abs(accuracy - F.col("share")) < 1e-9).alias("errors_agree"), F.inline("metrics")).select(
+        "dataset", "feature_set", "model", "n_tried", "n_report_rows", "metric",
+        F.coalesce(F.col("value").between(-1, 1), F.lit(True)).alias("in_range"), "errors_agree")
 
 
 # --- evaluation -----------------------------------------------------------------------------------

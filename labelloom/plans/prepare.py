@@ -6,22 +6,23 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 
 from labelloom.functions.hashing import array_key, key_digest
-from labelloom.functions.text import clean_tokens
 from labelloom.operators.curate import conflict_filter
 from labelloom.operators.feature_sets import feature_set
 from labelloom.operators.relational import drop_nulls, nonempty_tokens
 from labelloom.operators.sampling import balance_classes, train_test_split
+from labelloom.operators.tokens import comment_tokens
 from labelloom.session import materialize
 
 
-def token_corpus(comments: DataFrame, balance: bool = False) -> DataFrame:
+def token_corpus(comments: DataFrame, balance: bool = False, lemmas: DataFrame | None = None) -> DataFrame:
     """(id, comment, label, tokens): non-null, non-empty, unique token lists
-    with one label each; optionally with classes of equal size.
+    with one label each; optionally with classes of equal size, and with the
+    lemmas of a table (form, lemma).
 
     Tokens and their digest are written once.  The grouping then scans only the
     id, label and digest columns of that table.
     """
-    rows = (drop_nulls(comments).withColumn("tokens", clean_tokens("comment"))
+    rows = (comment_tokens(drop_nulls(comments), lemmas)
             .withColumn("token_key", key_digest(array_key("tokens"))))
     rows = nonempty_tokens(materialize(rows, "tokens"))
     kept = conflict_filter(rows, "token_key").drop("token_key")

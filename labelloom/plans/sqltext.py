@@ -41,3 +41,13 @@ def without_stopwords(tokens_sql: str, words=ENGLISH) -> str:
 
 def clean_tokens(text: str) -> str:
     return without_stopwords(normalized(text))
+
+
+def lemmatized(tokens_sql: str) -> str:
+    """With the stand-in dictionary of ``inputs.suffix_dictionary``."""
+    return (f"list_transform({tokens_sql}, lambda t : "
+            "CASE WHEN regexp_matches(t, '^.{3,}ing$') THEN substr(t, 1, length(t) - 3) ELSE t END)")
+
+
+def lemma_tokens(text: str) -> str:
+    return without_stopwords(lemmatized(normalized(text)))

@@ -9,10 +9,10 @@ from labelloom.functions import text as tx
 from labelloom.functions.hashing import row_digest
 from labelloom.functions.numeric import (array_to_vector, element_columns, floats, label_as_float,
                                          vector_to_array)
-from labelloom.operators import curate, relational as rel, sampling, tokens as tok, weights
+from labelloom.operators import curate, quality, relational as rel, sampling, tokens as tok, weights
 from labelloom.plans import sqltext as q
 from labelloom.plans.inputs import (DIM, LABELLED_SQL, documents, labelled, maybe_labelled,
-                                    requests, sourced, texts, vectors)
+                                    requests, sourced, suffix_dictionary, texts, vectors)
 from labelloom.plans.registry import query
 from labelloom.session import scratch_dir, spread
 from labelloom.sources import requests as rq
@@ -313,6 +313,26 @@ def row_counts(spark: SparkSession, root: str) -> DataFrame:
         "deduplicated": curate.dedupe_labelled(sourced(spark, root), "comment")})
 
 
+_QUALITY_SQL = f"""
+  WITH l AS (SELECT d.text AS comment, l.quality AS label FROM documents d LEFT JOIN labels l USING (doc_id)),
+  k AS (SELECT * FROM l WHERE comment IS NOT NULL AND label IS NOT NULL),
+  t AS (SELECT * FROM k WHERE len({q.clean_tokens('comment')}) > 0)"""
+
+
+@query("quality_report", _QUALITY_SQL + "".join(f"""
+  {'UNION ALL' if n else ''} SELECT '{stage}' AS stage, unnest(['rows', 'nulls:label', 'label=0', 'label=1']) AS metric,
+    unnest([count(*), count(*) FILTER (label IS NULL), count(*) FILTER (label = 0), count(*) FILTER (label = 1)]) AS value FROM {t}"""
+    for n, (stage, t) in enumerate((("loaded", "l"), ("labelled", "k"), ("with tokens", "t")))))
+def quality_report(spark: SparkSession, root: str) -> DataFrame:
+    """Counts of all stages of one job, which is run once and reads each table once."""
+    report, watch = quality.QualityReport(), {"columns": ["label"], "classes": {"label": [0, 1]}}
+    rows = report.watch("loaded", maybe_labelled(spark, root), **watch)
+    rows = report.watch("labelled", rel.drop_nulls(rows), **watch)
+    tokens = rel.nonempty_tokens(rows.withColumn("tokens", tx.clean_tokens("comment")))
+    report.watch("with tokens", tokens, **watch).write.parquet(scratch_dir(spark, "quality"))
+    return report.table(spark)
+
+
 @query("dedupe_labelled", f"SELECT id, comment, label FROM ({_DEDUPED})")
 def dedupe_labelled(spark: SparkSession, root: str) -> DataFrame:
     return curate.dedupe_labelled(sourced(spark, root), "comment").select("id", "comment", "label")
@@ -420,29 +440,20 @@ def remove_stopwords(spark: SparkSession, root: str) -> DataFrame:
         .select("id", *_token_columns("t"))
 
 
-@query("clean_tokens", _token_sql(q.clean_tokens("text")))
+@query("clean_tokens", _token_sql(q.lemma_tokens("text")))
 def clean_tokens(spark: SparkSession, root: str) -> DataFrame:
-    return texts(spark, root).select("id", tx.clean_tokens("comment").alias("t")) \
-        .select("id", *_token_columns("t"))
-
-
-def _suffix_dictionary(tokens: DataFrame) -> DataFrame:
-    """A stand-in lemma table drawn from the corpus: forms in -ing lose it."""
-    return (rel.exploded(tokens, [], F.array_distinct("tokens"), "form")
-            .filter(F.col("form").rlike("^.{3,}ing$")).distinct()
-            .select("form", F.expr("substring(form, 1, length(form) - 3)").alias("lemma")))
+    lemmas = suffix_dictionary(_normalized(spark, root))
+    return tok.comment_tokens(texts(spark, root), lemmas).select("id", *_token_columns("tokens"))
 
 
 def _normalized(spark: SparkSession, root: str) -> DataFrame:
     return texts(spark, root).select("id", tx.normalized_tokens("comment").alias("tokens"))
 
 
-@query("lemmatize", _token_sql(
-    f"list_transform({q.normalized('text')}, lambda t : "
-    "CASE WHEN regexp_matches(t, '^.{3,}ing$') THEN substr(t, 1, length(t) - 3) ELSE t END)"))
+@query("lemmatize", _token_sql(q.lemmatized(q.normalized("text"))))
 def lemmatize(spark: SparkSession, root: str) -> DataFrame:
     tokens = _normalized(spark, root)
-    return tok.lemmatize(tokens, _suffix_dictionary(tokens)).select("id", *_token_columns("tokens"))
+    return tok.lemmatize(tokens, suffix_dictionary(tokens)).select("id", *_token_columns("tokens"))
 
 
 @query("remove_stopword_table", f"""
