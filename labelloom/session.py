@@ -64,12 +64,14 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def spread(scan: DataFrame, by: str, partitions: int | None = None) -> DataFrame:
-    """Deal rows by the hash of their id before costly text work.
+    """Deal rows by the hash of their id before costly text work, if few tasks would do it otherwise.
 
     Multi-line CSV, gzip files and Parquet files of one row group are read by
-    one task each, and the work would stay in it.  The number of partitions is
-    the caller's or Spark's setting for shuffles, whatever the table's size.
-    The same rows meet on a retry, and groupings by that id need no more
-    shuffle.
+    one task each, and the work would stay in it.  A scan that has a task for
+    every core already is left as it is: dealing it out would only be a shuffle.
+    ``partitions`` asks for that many in any case.
     """
-    return scan.repartition(by) if partitions is None else scan.repartition(partitions, by)
+    if partitions is not None:
+        return scan.repartition(partitions, by)
+    context = scan.sparkSession.sparkContext
+    return scan.repartition(by) if scan.rdd.getNumPartitions() < context.defaultParallelism else scan

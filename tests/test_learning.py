@@ -151,6 +151,24 @@ def test_encoder_reads_whole_texts(spark):
     assert rows[2].features.toArray().sum() == 0
 
 
+def nan_for_bad(dim):
+    """An encoder whose vector of a text with "bad" in it is not a number."""
+    def make():
+        def predict(texts):
+            return np.array([[np.nan if "bad" in t else 1.0] * dim for t in texts], dtype=np.float32)
+        return predict
+    return make
+
+
+def test_families_leave_out_invalid_features(spark, tmp_path):
+    df = spark.createDataFrame([(1, "good text"), (2, "bad text"), (3, "fine")], "id long, comment string")
+    for name in ("encoder_sentence", "encoder_tokens"):
+        model = feature_set(name, dim=3, factory="test_learning:nan_for_bad").fit(df)
+        model.write().overwrite().save(str(tmp_path / name))
+        for m in (model, PipelineModel.load(str(tmp_path / name))):
+            assert sorted(r.id for r in m.transform(df).select("id", "features").collect()) == [1, 3]
+
+
 def test_unknown_names():
     with pytest.raises(ValueError):
         feature_set("nope")
