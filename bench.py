@@ -46,7 +46,7 @@ HEADLINE = [
     "balance_classes", "sample_fraction", "train_test_split", "skip_scored", "term_frequency",
     "tfidf", "standardize", "mean_pool", "features_pretrained_words", "features_encoder_tokens",
     "features_encoder_sentence", "auroc", "classification_report", "debounce_sessions",
-    "stream_dedupe", "stream_score", "experiment_matrix",
+    "stream_dedupe", "stream_score",
 ]
 
 if __name__ == "__main__":
