@@ -138,11 +138,14 @@ def sample_mixture(docs: DataFrame, targets, fraction: float, seed: int = 42) ->
     retry, independent of partitioning.  Rows that repeat an id are drawn or
     left together; a null id hashes like an empty one.  Missing dimensions form
     a category of their own; texts without words have no tokens but share their
-    cell's probability (0 if the whole cell has none).
+    cell's probability (0 if the whole cell has none).  Equal draws are drawn
+    alike, an empty table gives an empty result, and a column of ``docs`` that
+    has the name of a new one stays; the new one gets a longer name.
     """
-    cells = plan_mixture(docs, targets, fraction)
-    return docs.join(cells.select(*targets, "probability"), list(targets)).select(
-        *docs.columns, "probability", (_draw("doc_id", seed) < F.col("probability")).alias("sampled"))
+    probability, sampled = unused(docs, "probability", "sampled")
+    cells = plan_mixture(docs, targets, fraction).select(*targets, F.col("probability").alias(probability))
+    return docs.join(cells, list(targets)).select(
+        *docs.columns, probability, (_draw("doc_id", seed) < F.col(probability)).alias(sampled))
 
 
 def keep_mixture(docs: DataFrame, targets, fraction: float, seed: int = 42, id_col: str = "doc_id",
