@@ -54,6 +54,7 @@ OTHERS = ["All rights reserved.", "Copyright by the authors, all rights reserved
           "See the LICENSE file for details.", "Version 2.0 of the report was released to the public in general."]
 FAMILIES = [*TEMPLATES, "unknown"]
 UNKNOWN = len(FAMILIES) - 1
+PIECE = 4_000   # characters of a sampled paragraph at most: a longer one is several
 SAMPLE = 2_000
 FEATURES = 1 << 14
 SHARE = 0.6           # of a template's words and bigrams that confirm it
@@ -150,16 +151,33 @@ def _fit(hashes, where, label, steps: int = 200, rate: float = 0.5, decay: float
     return weights.astype(np.float32)
 
 
+def sampled_paragraphs(docs: DataFrame, text_col: str, sample: int) -> list[str]:
+    """The ``sample`` different pieces of lines with the least hashes.
+
+    The number of different pieces is estimated first; only pieces whose hash
+    lies below the bound that it gives, half as many again as are wanted, are
+    made distinct and sorted.
+    """
+    lines = docs.select(F.explode_outer(F.split(text_of(text_col), "\n")).alias("line")).where(F.trim("line") != "")
+    at = F.sequence(F.lit(0), F.floor((F.length("line") - 1) / PIECE).cast("int"))
+    pieces = lines.select("line", F.explode(at).alias("at")).select(
+        F.substring("line", F.col("at") * PIECE + 1, F.lit(PIECE)).alias("line")).select(F.xxhash64("line").alias("hash"), "line")
+    different = pieces.agg(F.approx_count_distinct("hash")).first()[0]
+    share = 1.5 * sample / max(1, different)
+    if share < 0.5:
+        pieces = pieces.where(F.col("hash") < F.lit(int(share * 2 ** 64) - (1 << 63)))
+    return [r.line for r in pieces.groupBy("hash").agg(F.min("line").alias("line")).orderBy("hash").limit(sample).collect()]
+
+
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, seed: int = 3) -> LicenseModel:
     """Fit on the templates' variants and ``sample`` paragraphs of the corpus.
 
-    The paragraphs are those with the least hashes (of a longer one, 4,000
-    characters); ones that confirm a template or are a wrapped part of one
-    are left out.  An empty corpus leaves the fixed other paragraphs.
+    The paragraphs are those with the least hashes, where a paragraph longer
+    than ``PIECE`` characters counts as several; ones that confirm a template or
+    are a wrapped part of one are left out.  An empty corpus leaves the fixed
+    other paragraphs.
     """
-    lines = docs.select(F.explode_outer(F.split(text_of(text_col), "\n")).alias("line")).where(F.trim("line") != "")
-    chosen = [r.line for r in lines.groupBy(F.xxhash64("line").alias("hash")).agg(
-        F.min(F.substring("line", 1, 4000)).alias("line")).orderBy("hash").limit(sample).collect()]
+    chosen = sampled_paragraphs(docs, text_col, sample)
     templates = []
     for family in FAMILIES[:-1]:
         hashes, where = _described(TEMPLATES[family])
