@@ -112,9 +112,14 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]
 
 
-def count_of(level: np.ndarray) -> np.ndarray:
-    """The middle of the counts that have a level; 0 at level 0."""
-    return np.where(level > 0, (np.exp2(level - 1.0) + np.exp2(level.astype(np.float64)) - 1) / 2, 0.0)
+def least_count(level: np.ndarray) -> np.ndarray:
+    """The least of the counts that have a level; 0 at level 0."""
+    return np.where(level > 0, np.exp2(level - 1.0), 0.0)
+
+
+def largest_count(level: np.ndarray) -> np.ndarray:
+    """The largest of the counts that have a level; 0 at level 0."""
+    return np.exp2(level.astype(np.float64)) - 1
 
 
 def _places(hashes: np.ndarray, level: int, size: np.ndarray) -> Iterator[np.ndarray]:
@@ -202,16 +207,29 @@ class Model:
         """log10 of each token's probability, given the one before.
 
         A mixture of the bigram's relative frequency and the word's, with one
-        added to each word's count; counts are those of the filter.
+        added to each word's count.  Counts of frequent words are exact.  Of
+        other counts the filter tells the level: the least one is taken for what
+        is divided and the largest one for the context it is divided by, so what
+        a context gives to all words sums to 1 at most (false positives aside).
         """
         _, bigram = bigrams_of(tokens, first)
         # The context is the token before, and the start for a text's first.
-        counts = count_of(self.filter.levels(1, np.concatenate(([START], tokens)).astype(np.uint64)))
-        word, seen = (counts[1:] + 1) / (self.tokens + self.vocabulary + 1), counts[:-1].copy()
-        seen[first[:-1]] = counts[0]
-        pair = np.minimum(count_of(self.filter.levels(2, bigram)) / np.maximum(seen, 1), 1.0)
+        levels = self.filter.levels(1, np.concatenate(([START], tokens)).astype(np.uint64))
+        exact, frequent = self._head_counts(tokens)
+        word = (np.where(frequent, exact, least_count(levels[1:])) + 1) / (self.tokens + self.vocabulary + 1)
+        seen = np.concatenate(([0], np.where(frequent, exact, largest_count(levels[1:]))))[:-1]
+        seen[first[:-1]] = largest_count(levels[:1])[0]
+        pair = np.minimum(least_count(self.filter.levels(2, bigram)) / np.maximum(seen, 1), 1.0)
         return np.log10(LAMBDA * pair + (1 - LAMBDA) * np.minimum(word, 1.0))
 
+    def _head_counts(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's count if it is a frequent one, and whether it is."""
+        if not len(self.head):
+            return np.zeros(len(tokens)), np.zeros(len(tokens), dtype=bool)
+        own = tokens.astype(np.uint64).view(np.int64)
+        at = np.minimum(np.searchsorted(self.head, own), len(self.head) - 1)
+        return self.head_counts[at], self.head[at] == own
+
 
 def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> tuple[Model, DataFrame, DataFrame, int]:
     """The model, exact counts of all words as (token, count), the filter's segments, and the bits that number them.
