@@ -329,7 +329,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, nu
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
                     num: int = 3, den: int = 4) -> DataFrame:
-    """(id, n_shingles, component_id): documents joined by similarity links.
+    """(doc_id, n_shingles, component_id): documents joined by similarity links.
 
     Two documents link if the Jaccard similarity of their word shingles is at
     least num / den.  Equal sets are one node, so copies are never paired.
@@ -341,6 +341,11 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id, null if there is none.  Repeated rows come out as often as they went
     in.  Other columns are ignored; an empty table gives an empty result.
     """
+    return _classes(docs, id_col, text_col, size, num, den).drop("text_id")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
+    """``similar_classes`` with each row's ``text_id``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("text_id"),
                        text_of(text_col).alias("text"))
     sets, index = shingle_index(rows, size, num, den)
@@ -357,7 +362,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = reach.groupBy("component").agg(F.min("least_id").alias("component_id"))
     classes = materialize(reach.join(least, "component").select("sid", "component_id"), "jaccard-classes")
     return sets.join(classes, "sid", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.col("id").alias("doc_id"), "text_id", F.col("n").alias("n_shingles"),
         F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -366,10 +371,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """The rows whose id is the smallest of their component, with all their columns.
 
     Rows without id stay (nothing tells them apart), unless their component has
-    an id; rows that repeat a winner's id and text stay with it.
+    an id; rows that repeat a winner's id and text stay with it.  Rows of one id
+    with different texts are judged one by one.
     """
-    key, = unused(docs, "_component_id")
-    classes = similar_classes(docs, id_col, text_col, size, num, den)
+    key, text_key = unused(docs, "_component_id", "_text_id")
+    classes = _classes(docs, id_col, text_col, size, num, den)
     losers = classes.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select(
-        F.col("doc_id").alias(key)).distinct()
-    return docs.join(losers, F.col(id_col).eqNullSafe(F.col(key)), "left_anti")
+        F.col("doc_id").alias(key), F.col("text_id").alias(text_key)).distinct()
+    return docs.join(losers, F.col(id_col).eqNullSafe(F.col(key))
+                     & (F.xxhash64(text_of(text_col)) == F.col(text_key)), "left_anti")
