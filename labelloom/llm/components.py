@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.common import materialize
 
+ROUNDS = 1   # meetings of nodes with heads of cells before all the others are compared
+CELL = 4     # nodes in a cell, about
+EARLIER = 8  # signatures before its own that a row of a node carries
+
 
 def _hook(edges: DataFrame, name: str, larger_only: bool) -> DataFrame:
     """Hang every neighbour of a node on the least node among them and itself.
@@ -52,16 +56,44 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def _mixed(index: DataFrame, nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """(signature, sid, component, main, traits) of the signatures in several components."""
+    """(signature, sid, component, main, n, traits) of the signatures in several components."""
     label = components(links, f"{name}-star")
     marked = materialize(index.join(label.withColumnRenamed("node", "sid"), "sid", "left").select(
         "signature", "sid", F.coalesce("component", "sid").alias("component")), f"{name}-marked")
-    main = materialize(marked.groupBy("signature").agg(F.min("component").alias("main"),
-                                                       F.max("component").alias("last"))
-                       .where("main <> last").select("signature", "main"), f"{name}-mixed")
+    main = materialize(marked.groupBy("signature").agg(F.min("component").alias("main"), F.max("component").alias("last"),
+                                                       F.count(F.lit(1)).alias("n"))
+                       .where("main <> last").select("signature", "main", "n"), f"{name}-mixed")
     return materialize(marked.join(main, "signature").join(nodes, "sid"), f"{name}-open")
 
 
+def _met(mixed: DataFrame, may_link: Callable[[str, str], Column], number: int, name: str) -> DataFrame:
+    """(a, b, count): nodes with the head of their cell, if it is in another component and may link.
+
+    A signature's nodes are dealt to cells of about ``CELL`` by a hash of the
+    node, so similar nodes of several signatures mostly meet the same head, and
+    a large group is many small ones.
+    """
+    cells = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / CELL, F.lit(1.0))))).cast("long")
+    dealt = mixed.withColumn("cell", F.xxhash64("sid", F.lit(number)).bitwiseAND(cells - 1))
+    heads = materialize(dealt.groupBy("signature", "cell").agg(F.min_by(
+        F.struct("sid", "component", "traits"), F.xxhash64("sid", F.lit(-1 - number))).alias("head")), f"{name}-cells")
+    met = dealt.join(heads, ["signature", "cell"]).where(
+        (F.col("component") != F.col("head.component")) & may_link("traits", "head.traits"))
+    return met.groupBy(F.col("sid").alias("a"), F.col("head.sid").alias("b")).count()
+
+
+def _with_earlier(mixed: DataFrame, name: str) -> DataFrame:
+    """``mixed`` with ``earlier``: of each node's open signatures the ``EARLIER`` that come before this one."""
+    listed = mixed.groupBy("sid").agg(
+        F.any_value("component").alias("component"), F.any_value("traits").alias("traits"),
+        F.sort_array(F.collect_list(F.struct("signature", "main"))).alias("all"))
+    placed = listed.select("sid", "component", "traits", "all", F.posexplode("all").alias("at", "own"))
+    start = F.greatest(F.col("at") - EARLIER, F.lit(0))
+    return materialize(placed.select(
+        "sid", "component", "traits", "own.signature", "own.main",
+        F.slice("all", start + 1, F.col("at") - start)["signature"].alias("earlier")), f"{name}-strays")
+
+
 def linked(index: DataFrame, nodes: DataFrame, may_link: Callable[[str, str], Column],
            plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame],
            name: str) -> DataFrame:
@@ -94,22 +126,20 @@ def linked(index: DataFrame, nodes: DataFrame, may_link: Callable[[str, str], Co
     links = materialize(verified(best), f"{name}-links")
     mixed = _mixed(index, nodes, links, name)
 
-    # Once more with other nodes, now only those that may link: a large group seldom keeps together by one.
-    pivots = materialize(mixed.groupBy("signature").agg(F.min_by(
-        F.struct("sid", "component", "traits"), F.xxhash64("sid", F.lit(1))).alias("pivot")), f"{name}-pivots")
-    second = mixed.join(pivots, "signature").where(
-        (F.col("component") != F.col("pivot.component")) & may_link("traits", "pivot.traits"))
-    second = second.groupBy(F.col("sid").alias("a"), F.col("pivot.sid").alias("b")).count()
-    best = (plausible(second).groupBy("a").agg(F.max(F.struct("count", "b")).alias("best"))
-            .select("a", F.col("best.b").alias("b")))
-    links = materialize(links.union(verified(best)), f"{name}-links")
-    mixed = _mixed(index, nodes, links, name)
-
-    strays = mixed.where("component <> main").select(
-        "signature", F.col("sid").alias("a"), F.col("component").alias("component_a"), F.col("traits").alias("traits_a"))
-    rest = strays.join(mixed, "signature").where(
+    # More rounds with other nodes, now only those that may link: a large group seldom keeps together by one.
+    for number in range(1, ROUNDS + 1):
+        best = (plausible(_met(mixed, may_link, number, name)).groupBy("a").agg(F.max(F.struct("count", "b")).alias("best"))
+                .select("a", F.col("best.b").alias("b")))
+        links = materialize(links.union(verified(best)), f"{name}-links")
+        mixed = _mixed(index, nodes, links, name)
+
+    placed = _with_earlier(mixed, name)
+    strays = placed.where("component <> main").select(
+        "signature", F.col("sid").alias("a"), F.col("component").alias("component_a"), F.col("traits").alias("traits_a"),
+        F.col("earlier").alias("earlier_a"))
+    rest = strays.join(placed, "signature").where(
         (F.col("component_a") != F.col("component"))
         & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("sid")))
-        & may_link("traits_a", "traits")).select("a", F.col("sid").alias("b"))
+        & may_link("traits_a", "traits") & ~F.arrays_overlap("earlier_a", "earlier")).select("a", F.col("sid").alias("b"))
     more = materialize(verified(plausible(rest.distinct())), f"{name}-more")
     return components(links.union(more), name)
