@@ -200,12 +200,28 @@ def test_bloom_filter_lm(spark, corpus, monkeypatch):
     seen = {r.doc_id: r.score / r.n_tokens for r in got if r.doc_id}
     copies, alone = [seen[100 + i] for i in range(120)], [seen[i] for i in (4, 8)]
     assert sum(copies) / 120 > sum(alone) / 2  # repeated texts are likelier
-    small = bloom_lm.score(frame, F.lit(False), filter_bytes=100).collect()  # a raised cut-off changes scores only
+    small = bloom_lm.score(frame, F.lit(False), filter_bytes=100).collect()
     assert {r.train_tokens for r in small} == {sum(len(word_list(t)) + 1 for _, t in corpus)}
     assert bloom_lm.score(frame.limit(0), F.lit(False)).count() == 0
     assert {r.n_known for r in bloom_lm.score(frame, F.lit(True)).collect()} == {0}
 
 
+@pytest.mark.parametrize("head", [0, 2, 100])
+def test_probabilities_of_a_context_sum_to_one_at_most(spark, monkeypatch, head):
+    monkeypatch.setattr(bloom_lm, "HEAD", head)
+    draw = random.Random(2)
+    texts = [" ".join(draw.choices("abcd", [9, 5, 2, 1], k=draw.randrange(1, 9))) for _ in range(77)]
+    model = bloom_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))[0]
+    outcomes = bloom_lm.tokens_of(next(words.pieces(pa.array(["a b c d"]))))[0]
+    for context in (None, *outcomes[:-1]):
+        given = [w for w in ([] if context is None else [context])]
+        total = 0.0
+        for outcome in outcomes:
+            tokens = np.array([*given, outcome], dtype=np.uint64)
+            total += 10 ** model.log_probability(tokens, np.array([0, len(tokens)]))[-1]
+        assert 0.4 < total <= 1 + 1e-9
+
+
 def test_bigram_scores_do_not_depend_on_the_broadcast_bound(spark, corpus, monkeypatch):
     monkeypatch.setattr(bloom_lm, "SEGMENT", 300)
     monkeypatch.setattr(bloom_lm, "BLOCK_BITS", 2)  # so that there are several blocks
@@ -297,10 +313,25 @@ def test_mixture_sampling(spark, corpus):
     assert kept.count() == drawn.where("sampled").count() > 0
     assert raking.keep_mixture(frame, targets, 10.0).count() >= len(corpus) - 3  # texts without words may go
     assert raking.keep_mixture(frame.limit(0), targets, 0.5).count() == 0
+    clash = raking.described(frame).withColumn("probability", F.lit(7.0)).withColumn("Sampled", F.lit("x"))
+    both = raking.sample_mixture(clash, targets, 0.5)
+    assert {(r[5], r[6]) for r in both.collect()} == {(7.0, "x")}
+    assert both.where(F.col(both.columns[-1])).count() == drawn.where("sampled").count()
 
 
 # 6 ---------------------------------------------------------------------------------------------
 
+def test_license_sample_takes_pieces_of_whole_lines(spark):
+    long = "".join(chr(97 + i // 4000) for i in range(10_000))
+    frame = spark.createDataFrame([(t,) for t in (long, long, "short\n\n  \nother", None, "")], "text string")
+    pieces = licenses.sampled_paragraphs(frame, "text", 100)
+    assert sorted(pieces) == ["a" * 4000, "b" * 4000, "c" * 2000, "other", "short"]
+    many = spark.range(20_000).select(F.concat(F.lit("line "), "id").alias("text"))
+    least = many.select("text").orderBy(F.xxhash64("text")).limit(50)
+    assert licenses.sampled_paragraphs(many, "text", 50) == [r.text for r in least.collect()]
+    assert licenses.sampled_paragraphs(frame.limit(0), "text", 100) == []
+
+
 def test_license_scan(spark):
     texts = ["", None, "Plain words.\n\nMore plain words here.", "Intro\nReleased under the MIT License.\nend",
              "x\nLicensed under the Apache License, Version 2.0.", "The license was granted by the city in May."]
@@ -450,6 +481,38 @@ def test_jaccard_keeps_one_of_each(spark, corpus):
     assert jaccard_join.similar_classes(frame.limit(0)).count() == 0
 
 
+def test_jaccard_judges_texts_of_one_id_one_by_one(spark):
+    text, other = "one two three four five six seven", "quite another text of more than five words"
+    kept = jaccard_join.keep_one(table(spark, [(1, text), (2, text), (2, other), (None, text), (None, other)]))
+    assert rows_of(kept.select("doc_id", "text")) == [(1, text), (2, other)]
+
+
+@pytest.mark.parametrize("earlier, cell", [(0, 1), (2, 4), (8, 50)])
+def test_linked_finds_every_component(spark, monkeypatch, earlier, cell):
+    """Whatever rows carry and however large cells are, and each pair is checked once if rows carry all."""
+    monkeypatch.setattr(components, "EARLIER", earlier)
+    monkeypatch.setattr(components, "CELL", cell)
+    draw = random.Random(4)
+    place = {i: draw.randrange(900) for i in range(150)}
+    signatures = {i: sorted({draw.randrange(8) for _ in range(4)}) for i in place}
+    index = spark.createDataFrame([(s, i) for i, all_ in signatures.items() for s in all_], "signature long, sid long")
+    nodes = spark.createDataFrame(list(place.items()), "sid long, traits long")
+
+    def near(one, other, most):
+        return F.abs(F.col(one) - F.col(other)) <= most
+
+    def verified(pairs):
+        at = [nodes.select(F.col("sid").alias(s), F.col("traits").alias(f"at_{s}")) for s in "ab"]
+        return pairs.join(at[0], "a").join(at[1], "b").where(near("at_a", "at_b", 5)).select("a", "b")
+
+    found = components.linked(index, nodes, lambda one, other: near(one, other, 40), lambda pairs: pairs, verified, "test")
+    links = [(a, b) for a in place for b in range(a)
+             if abs(place[a] - place[b]) <= 5 and set(signatures[a]) & set(signatures[b])]
+    root = grouped(len(place), links)
+    touched = {i for link in links for i in link}
+    assert rows_of(found) == sorted(((i, root[i]) for i in touched), key=repr)
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 def test_attention_quality(spark):
