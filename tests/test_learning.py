@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import sys
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler
@@ -12,10 +15,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from labelloom.functions.encoders import hashed_ngrams, pooled_encoder
 from labelloom.operators import classify, weights
 from labelloom.operators.evaluate import positive_score, ranking_metrics
 from labelloom.operators.feature_sets import feature_set
 from labelloom.operators.sampling import train_test_split
+from labelloom.operators.stages import PooledTokenEncoder
 from labelloom.plans.experiment import run_matrix
 from labelloom.plans.inputs import labelled, vectors
 from labelloom.plans.prepare import feature_tables, fit_once, sentence_corpus, token_corpus
@@ -81,6 +86,41 @@ def test_pooled_word_vectors(spark, docs):
         weights.pooled_word_vectors(docs, table, unknown="guess")
 
 
+def test_pooled_token_encoder(spark):
+    """Means of the encoded tokens by hand, over many batches; no vector is shuffled."""
+    rows = [(i, [None if j == 3 else f"w{i * j % 97}" for j in range(i % 9)]) for i in range(300)] + [(8, ["w1", "v"]), (None, ["x"]), (400, None)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    stage = PooledTokenEncoder(inputCol="tokens", outputCol="features", dim=16, batchSize=7)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        out = stage.transform(df.repartition(3)).select("id", vector_to_array("features").alias("f"))
+        assert "CoGroup" not in out._jdf.queryExecution().sparkPlan().toString()
+        got = sorted((r.id, tuple(r.f)) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    encode, want = hashed_ngrams(16)(), []
+    for i, _ in rows:
+        terms = [t for k, r in rows if k is not None and k == i for t in r or [] if t is not None]
+        if terms:
+            want.append((i, tuple(encode(np.array(terms, dtype=object)).astype(float).mean(axis=0))))
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
+    assert np.allclose([f for _, f in got], [f for _, f in sorted(want)], atol=1e-6)
+
+
+def test_kept_words_are_encoded_once():
+    calls = []
+
+    def factory(dim):
+        return lambda: lambda words: calls.extend(words) or np.array([[len(w), 1.0] for w in words], dtype=np.float32)
+    sys.modules["_planted"] = types.SimpleNamespace(factory=factory)
+    run = pooled_encoder("_planted:factory", 2, 2, kept=1).func
+    batches = [pa.array([["aa", "b", "aa"], []]), pa.array([["aa", "ccc"]])]
+    out = [b.to_pylist() for b in run(iter(batches))]
+    assert out == [[[pytest.approx(5 / 3), 1.0], [0.0, 0.0]], [[2.5, 1.0]]]
+    assert sorted(calls) == ["aa", "b", "ccc"]
+
+
 def test_assemble_skips_invalid(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([None, 1.0],), ([float("nan"), 1.0],)], "features array<double>")
     assert [r.features for r in weights.assemble(df).collect()] == [Vectors.dense(1.0, 2.0)]
