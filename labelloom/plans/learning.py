@@ -124,8 +124,9 @@ def _word_vectors(tokens: DataFrame) -> DataFrame:
              FROM ({_TERMS}) t, (SELECT unnest(range({_WORD_DIM})) AS i) r WHERE length(term) >= 4)
   SELECT id, pos, round(avg(CAST(x AS DOUBLE)), 6) + 0.0 AS value FROM e GROUP BY id, pos""")
 def features_pretrained_words(spark: SparkSession, root: str) -> DataFrame:
-    tokens = _tokens(spark, root)
-    return _long(weights.pooled_word_vectors(tokens, _word_vectors(tokens)))
+    # Both are read by several jobs, which would clean and split all texts again.
+    tokens = materialize(_tokens(spark, root), "tokens")
+    return _long(weights.pooled_word_vectors(tokens, materialize(_word_vectors(tokens), "word-vectors")))
 
 
 # --- fitted feature families ------------------------------------------------------------

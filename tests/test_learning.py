@@ -21,6 +21,7 @@ from labelloom.operators.evaluate import positive_score, ranking_metrics
 from labelloom.operators.feature_sets import feature_set
 from labelloom.operators.sampling import train_test_split
 from labelloom.operators.stages import PooledTokenEncoder
+from labelloom.plans import learning
 from labelloom.plans.experiment import run_matrix
 from labelloom.plans.inputs import labelled, vectors
 from labelloom.plans.prepare import feature_tables, fit_once, sentence_corpus, token_corpus
@@ -86,6 +87,18 @@ def test_pooled_word_vectors(spark, docs):
         weights.pooled_word_vectors(docs, table, unknown="guess")
 
 
+def test_pretrained_words_clean_texts_once(spark, sf, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def split(text):
+        seen.add(1)
+        return text.split()
+    rows = spark.createDataFrame([(i, f"some words here {i}") for i in range(20)], "id long, text string")
+    monkeypatch.setattr(learning, "_tokens", lambda *_: rows.select("id", F.udf(split, "array<string>")("text").alias("tokens")))
+    assert learning.features_pretrained_words(spark, sf).select("id").distinct().count() == 20
+    assert seen.value == 20
+
+
 def test_pooled_token_encoder(spark):
     """Means of the encoded tokens by hand, over many batches; no vector is shuffled."""
     rows = [(i, [None if j == 3 else f"w{i * j % 97}" for j in range(i % 9)]) for i in range(300)] + [(8, ["w1", "v"]), (None, ["x"]), (400, None)]
