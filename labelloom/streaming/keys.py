@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from labelloom.operators.relational import skip_known
 
 BUCKETS = 256
+WRITERS = 32  # tasks that write buckets side by side; by itself Spark makes one of them, as ids are few bytes
 ROLL = 1000
 CARRIED = -1  # the batch number of the ids carried over from earlier epochs
 BUCKET, BATCH = "key_bucket", "key_batch"
@@ -63,7 +64,7 @@ class KeyTable:
         self._write(ids.select(self.row_id), self._epoch(batch_id), batch_id)
 
     def _write(self, ids: DataFrame, epoch: str, batch_id: int) -> None:
-        (ids.withColumn(BUCKET, self.bucket()).repartition(BUCKET).write.mode("overwrite")
+        (ids.withColumn(BUCKET, self.bucket()).repartition(min(WRITERS, self.buckets), BUCKET).write.mode("overwrite")
          .partitionBy(BUCKET).parquet(f"{epoch}/{BATCH}={batch_id}"))
 
     def _carry(self, spark: SparkSession, batch_id: int, kind: T.DataType) -> None:

@@ -180,3 +180,12 @@ def test_a_new_model_takes_over_without_a_restart(spark, tmp_path, yes_models):
     query.stop()
     got = {r.id: (r.prediction, r.model_version) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": (1.0, "1"), "b": (0.0, "2")}
+
+
+def test_buckets_are_written_side_by_side(spark, tmp_path):
+    """By several tasks, and each bucket by one of them."""
+    table = KeyTable(str(tmp_path / "keys"))
+    table.add(spark.range(2000).withColumn("id", F.col("id").cast("string")), 0)
+    files = [f for f in (tmp_path / "keys").rglob("part-*.parquet")]
+    assert len(files) == len({f.parent for f in files}) == 256
+    assert len({f.name.split("-")[1] for f in files}) > 1
