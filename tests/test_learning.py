@@ -289,3 +289,25 @@ def test_vectors_roundtrip_float32(spark):
     df = spark.createDataFrame([([0.1, 0.2],)], "f array<float>")
     back = df.select(vector_to_array(array_to_vector("f"), "float32").alias("g"), "f").first()
     assert back.f == back.g
+
+
+def test_features_are_worked_out_once(spark, tmp_path):
+    """The check of the vectors isn't a filter on the scan, where the text would be cleaned once more."""
+    spark.createDataFrame([(1, "a good day"), (2, "a bad night")], "id long, comment string").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    out = feature_set("hashed_tfidf", num_features=16).fit(rows).transform(rows).select("id", "features")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert out.count() == 2
+
+
+def test_vectors_are_compared_by_digests(spark):
+    """Equal values are equal, whatever their sign of zero; each pair of rows of an id counts."""
+    def vectors(*rows):
+        return spark.createDataFrame([(i, Vectors.dense(v)) for i, v in rows], ["id", "v"])
+
+    before = vectors((1, [0.0, 2.0]), (2, [1.0, 2.0]), (3, [float("nan")]), (4, [1.0]), (4, [2.0]), (5, [1.0]))
+    after = vectors((1, [-0.0, 2.0]), (2, [1.0, 2.5]), (3, [float("nan")]), (4, [1.0]), (4, [2.0]))
+    out = learning._all_equal(before, after, "v")
+    assert tuple(out.first()) == (7, 4)
+    joined = out._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+    assert joined.count("xxhash64(1, unwrap_udt") == 2
