@@ -273,7 +273,7 @@ def shingle_index(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataF
     return sets, single.union(pairs)
 
 
-def _folded(parity: Column, words: Column) -> Column:
+def folded(parity: Column, words: Column) -> Column:
     """The parities of half as many cells, if there are more than ``words``."""
     halves = F.zip_with(F.slice(parity, 1, words), F.slice(parity, words + 1, words), lambda x, y: x.bitwiseXOR(y))
     return F.when(F.size(parity) > words, halves).otherwise(parity)
@@ -299,7 +299,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
                                       F.col("parity").alias(f"parity_{side}")), side)
     both = both.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
     words = F.least(F.size("parity_a"), F.size("parity_b"))
-    differ = F.zip_with(_folded(F.col("parity_a"), words), _folded(F.col("parity_b"), words),
+    differ = F.zip_with(folded(F.col("parity_a"), words), folded(F.col("parity_b"), words),
                         lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     count = F.aggregate(differ, F.lit(0), lambda total, x: total + x)
     return both.where((den + num) * count <= (den - num) * (F.col("n_a") + F.col("n_b"))).select(*pairs.columns)

@@ -431,6 +431,48 @@ def test_fuzzy_lines(spark):
     assert fuzzy_lines.judge_lines(frame.limit(0)).count() == 0
 
 
+def test_line_traits(spark):
+    draw, size = random.Random(8), fuzzy_lines.SHINGLE
+    lines = ["", "ab", "ab\0", "abcdefg", "a" * 40, "\U0001f600é" * 9, "x" * 3000]
+    for n in (20, 60, 200, 700):
+        first = "".join(draw.choice("abcdef ") for _ in range(n))
+        lines += [first] + [first[:k] + "é" + first[k + 1:] for k in range(3, n, max(1, n // 6))]
+        lines += [first[:n // 2] + "".join(draw.choice("abcdef ") for _ in range(n // 2)) for _ in range(4)]
+    sets = [{x[j:j + size] for j in range(max(1, len(x) - size + 1))} for x in lines]
+    frame = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "lid long, first_doc long, line string")
+    known = fuzzy_lines.describe(frame, size, 3, 10)
+    assert {r.lid: r.traits.n for r in known.collect()} == {i: len(x) for i, x in enumerate(sets)}
+    one, other = (known.select(F.col("lid").alias(x), F.col("traits").alias(t)) for x, t in (("a", "p"), ("b", "q")))
+    allowed = {(r.a, r.b) for r in one.crossJoin(other).where(fuzzy_lines.may_be_similar("p", "q", 3, 4)).collect()}
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets):
+            assert (a, b) in allowed or 4 * len(x & y) < 3 * len(x | y)
+            assert (a, b) not in allowed or len(x) < 100 or 2 * len(x & y) >= len(x | y)
+    texts = spark.createDataFrame([(a, b, x, y) for a, x in enumerate(lines) for b, y in enumerate(lines)],
+                                  "a long, b long, p string, q string")
+    similar = {(r.a, r.b) for r in texts.mapInArrow(fuzzy_lines._similar(size, 3, 4), "a long, b long").collect()}
+    assert similar == {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets)
+                       if 4 * len(x & y) >= 3 * len(x | y)}
+
+
+def test_lines_of_one_template_are_not_compared_in_pairs(spark, monkeypatch):
+    draw, compared = random.Random(9), []
+    head = "".join(draw.choice("abcdefghij ") for _ in range(110))
+    lines = [head + "".join(draw.choice("abcdefghij ") for _ in range(70)) for _ in range(200)]
+    write = fuzzy_lines.materialize
+
+    def counted(df, name, *args):
+        written = write(df, name, *args)
+        if name == "lines-candidates":
+            compared.append(written.count())
+        return written
+
+    monkeypatch.setattr(fuzzy_lines, "materialize", counted)
+    got = fuzzy_lines.judge_lines(table(spark, list(enumerate(lines)))).collect()
+    assert len(got) == len(lines) and all(r.kept and r.keep_doc_id == r.doc_id for r in got)
+    assert compared and sum(compared) <= len(lines)
+
+
 # 9 ---------------------------------------------------------------------------------------------
 
 def brute_classes(corpus):
