@@ -6,6 +6,7 @@ import math
 import sys
 import types
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -25,6 +26,7 @@ from labelloom.plans import learning
 from labelloom.plans.experiment import run_matrix
 from labelloom.plans.inputs import labelled, vectors
 from labelloom.plans.prepare import feature_tables, fit_once, sentence_corpus, token_corpus
+from labelloom.plans.registry import ORACLE
 from labelloom.sources.models import load_pipeline, save_model
 
 
@@ -311,3 +313,31 @@ def test_vectors_are_compared_by_digests(spark):
     assert tuple(out.first()) == (7, 4)
     joined = out._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
     assert joined.count("xxhash64(1, unwrap_udt") == 2
+
+
+def test_the_matrix_query_is_whole(spark, sf, monkeypatch):
+    """All five families on both tables, every model with a grid tuned over it, and the SQL asks for that."""
+    calls = []
+
+    def stopped(name, corpus, feature_sets, models=tuple(classify.CLASSIFIERS), tune=True, **options):
+        calls.append((name, set(feature_sets), set(models), tune, feature_sets["pretrained_words"]["path"]))
+
+    monkeypatch.setattr(learning, "run_matrix", stopped)
+    monkeypatch.setattr(learning.Ledger, "runs", lambda self: (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        learning.experiment_matrix(spark, sf)
+    families = {"tfidf", "word2vec", "pretrained_words", "encoder_tokens", "encoder_sentence"}
+    assert [c[:4] for c in calls] == [(d, families, {"logistic", "forest", "svc", "mlp"}, True) for d in ("documents", "conversations")]
+    for *_, path in calls:
+        assert {len(r.vector) for r in spark.read.parquet(path).collect()} == {300}
+    tried = duckdb.sql(f"SELECT model, n_tried, count(*) FROM ({ORACLE['experiment_matrix']}) GROUP BY ALL").fetchall()
+    assert set(tried) == {("logistic", 9, 60), ("forest", 6, 60), ("svc", 6, 60), ("mlp", 0, 60)}
+
+
+def test_stand_in_words_of_any_width(spark):
+    """Wider vectors begin with the narrow ones, and no block repeats another."""
+    tokens = spark.createDataFrame([(["word", "none", "by"],), (["word", None],)], "tokens array<string>")
+    narrow = {r.word: r.vector for r in learning._word_vectors(tokens).collect()}
+    wide = {r.word: r.vector for r in learning._word_vectors(tokens, 20).collect()}
+    assert set(narrow) == set(wide) == {"word", "none"} and {len(v) for v in wide.values()} == {20}
+    assert all(wide[w][:8] == narrow[w] and len(set(wide[w])) == 20 for w in wide)
